@@ -37,8 +37,14 @@ def same_keys(left: str, right: str, keys: list[str]) -> Column:
     return reduce(and_, pairs, F.lit(True))
 
 
-def _linear(low: Column, high: Column, share: Column) -> Column:
-    return F.when(low == high, low).otherwise(low + (high - low) * share)
+def _between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation; the middle of two values is their mean, so a median has no extra rounding error."""
+    return (
+        F.when(low == high, low)
+        .when(share == 0.5, (low + high) / 2)
+        .when(share < 0.5, low + (high - low) * share)
+        .otherwise(high - (high - low) * (1 - share))
+    )
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float]) -> DataFrame:
@@ -91,7 +97,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
     return found.select(
         *groups,
         *[
-            _linear(F.col(f"__low{i}"), F.col(f"__high{i}"), rank(p) - F.floor(rank(p))).alias(name)
+            _between(F.col(f"__low{i}"), F.col(f"__high{i}"), rank(p) - F.floor(rank(p))).alias(name)
             for i, (name, p) in enumerate(wanted.items())
         ],
     )
