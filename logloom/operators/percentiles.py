@@ -1,8 +1,9 @@
 """Exact percentiles of groups of any size.
 
 The built-in `percentile` keeps every distinct value of a group in one task's memory. Here a group is
-spread over value ranges: counting per range finds the one range that holds a wanted rank, and only
-its values are put in order. No task ever sees more of a group than its distinct values in one range.
+spread over value ranges: counting per range, combined before the shuffle, finds the few ranges that
+hold a wanted rank, and only values in those are counted one by one and put in order. No task ever
+sees more of a group than its distinct values in one range.
 """
 
 from __future__ import annotations
@@ -54,17 +55,15 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
     """
     value, count = "__v", "__c"
     groups = [col(k) for k in keys]
-    counts = (
+    values = (
         df.select(*groups, col(column).cast("double").alias(value))
         .where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias(count))
         .withColumn("__r", value_range(F.col(value)))
     )
 
     upto = Window.partitionBy(*groups).orderBy("__r")
     ranges = (
-        counts.groupBy(*groups, "__r").agg(F.sum(count).alias("__n"))
+        values.groupBy(*groups, "__r").agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__upto", F.sum("__n").over(upto))
         .withColumn("__total", F.sum("__n").over(Window.partitionBy(*groups)))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
@@ -80,12 +79,15 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
     chosen = ranges.where(reduce(or_, [holds(r) for r in ranks])).select(*groups, "__r", "__before", "__total")
 
     inside = (
-        counts.alias("a")
+        values.alias("a")
         .join(chosen.alias("b"), same_keys("a", "b", keys) & (F.col("a.__r") == F.col("b.__r")))
-        .select(*[F.col(f"a.`{k}`") for k in keys], "a.__r", f"a.{value}", f"a.{count}", "b.__before", "b.__total")
+        .select(*[F.col(f"a.`{k}`") for k in keys], "a.__r", f"a.{value}", "b.__before", "b.__total")
+    )
+    counts = inside.groupBy(*groups, "__r", value).agg(
+        F.count(F.lit(1)).alias(count), F.max("__before").alias("__before"), F.max("__total").alias("__total")
     )
     running = F.sum(count).over(Window.partitionBy(*groups, "__r").orderBy(value))
-    placed = inside.withColumn("__upto", F.col("__before") + running).withColumn(
+    placed = counts.withColumn("__upto", F.col("__before") + running).withColumn(
         "__before", F.col("__upto") - F.col(count)
     )
 
