@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
@@ -191,6 +194,31 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/logloom-{uuid.uuid4().hex}"
 
 
+# Spark's limit on the bytes of an Arrow batch is checked for every row and column, which costs more
+# than the transfer itself. A text scan's task cannot send more than its split, so it needs no limit.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_NO_LIMIT = str(2**31 - 1)
+
+
+@contextmanager
+def _unlimited_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_BATCH_BYTES, None)
+    if before is None or not _small_splits(spark):
+        yield
+        return
+    spark.conf.set(_BATCH_BYTES, _NO_LIMIT)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+
+
+def _small_splits(spark: SparkSession) -> bool:
+    """Whether a split stays far below the 2 GiB an Arrow text column can hold."""
+    size = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower())
+    return bool(size) and int(size[1]) * 1024 ** " kmg".index(size[2] or " ") <= 2**30
+
+
 def log_events(
     lines: DataFrame,
     columns: EventColumns,
@@ -219,7 +247,8 @@ def log_events(
     marked = fragments.withColumn("__rim", rim)
     once = with_computed(marked, "raw", F.when(F.col("role") == WHOLE, raw), ["file_path", "__rim"])
     rows = parse_events(once, columns, aside="__rim")
-    rows.write.mode("overwrite").parquet(stage)
+    with _unlimited_batches(spark) if in_file_order else nullcontext():
+        rows.write.mode("overwrite").parquet(stage)
     saved = spark.read.schema(rows.schema).parquet(stage)
     rims = saved.where(F.col("__rim").isNotNull()).select("__rim.*")
     crossing = parse_events(with_computed(stitch(rims), "raw", raw, ["file_path"]), columns)
