@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import warnings
 
-# Python escapes that Java reads differently, outside and inside a character class.
-_ESCAPES = {"Z": r"\z", "v": r"\x0B", "0": r"\x00"}
+# Python escapes that Java reads differently.
+_ESCAPES = {"Z": r"\z", "v": r"\x0B"}
 
 
 def escape(text: str) -> str:
@@ -20,7 +21,9 @@ def to_java(pattern: str) -> str:
     Raises ValueError for a bad pattern or one Java has no counterpart for.
     """
     try:
-        flags = re.compile(pattern).flags
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)
+            flags = re.compile(pattern).flags
     except re.error as error:
         raise ValueError(f"bad regular expression {pattern!r}: {error}") from error
     if re.search(r"(?<!\\)\(\?\(", pattern):
@@ -37,8 +40,12 @@ def to_java(pattern: str) -> str:
         named = re.match(r"\(\?P<(\w+)>", rest)
         back = re.match(r"\(\?P=(\w+)\)", rest)
         ascii_flag = re.match(r"\(\?([a-zA-Z]*a[a-zA-Z]*)\)", rest)
-        if rest[0] == "\\":
-            out.append(_ESCAPES.get(rest[1], rest[:2]) if not rest[1:3].isdigit() else rest[:2])
+        octal = re.match(r"\\(0[0-7]{0,2}|[1-3][0-7]{2})", rest)
+        if octal:
+            out.append(rf"\x{{{int(octal[1], 8):x}}}")
+            at += len(octal[0])
+        elif rest[0] == "\\":
+            out.append(_ESCAPES.get(rest[1], rest[:2]))
             at += 2
         elif in_class:
             if rest[0] == "]":

@@ -57,65 +57,68 @@ def _is_number(value: Any) -> bool:
     return isinstance(value, (int, float))
 
 
-def _equals(c: Column, kind: T.DataType, value: Any, loose: bool) -> Column:
-    """Typed equality: a number never equals a text."""
-    if isinstance(kind, T.StringType):
-        if isinstance(value, str):
-            return (c == F.lit(value)) & ~text.is_number(c) if loose else c == F.lit(value)
-        if loose and _is_number(value):
-            return text.to_number(c) == F.lit(float(value))
-    elif isinstance(kind, T.NumericType) and _is_number(value):
-        number = int(value) if isinstance(value, bool) else value
-        return c == F.lit(number)
-    elif isinstance(kind, T.BooleanType) and isinstance(value, bool):
+def _equals(c: Column, kind: T.DataType, value: Any) -> Column | None:
+    """Typed equality; None where the types can never be equal, as for a number and a text."""
+    if isinstance(kind, T.StringType) and isinstance(value, str):
         return c == F.lit(value)
-    return F.lit(False)
+    if isinstance(kind, T.NumericType) and _is_number(value):
+        return c == F.lit(int(value) if isinstance(value, bool) else value)
+    if isinstance(kind, T.BooleanType) and isinstance(value, bool):
+        return c == F.lit(value)
+    return None
+
+
+def _equals_by_value(c: Column, value: Any) -> Column | None:
+    """Equality for untyped property text: a number, if it reads as one."""
+    if isinstance(value, str):
+        return (c == F.lit(value)) & ~text.is_number(c)
+    if _is_number(value):
+        return F.coalesce(text.to_number(c) == F.lit(float(value)), F.lit(False))
+    return None
 
 
 def _compares(c: Column, kind: T.DataType, operation: str, value: Any) -> Column:
     bound = _as_float(value)
     if bound is None or bound != bound:
         return F.lit(False)
+    compare = _ORDERINGS[operation]
     if isinstance(kind, T.StringType):
-        number = text.to_number(c)
-    elif isinstance(kind, T.NumericType):
-        number = c.cast("double")
-    else:
-        return F.lit(False)
-    holds = _ORDERINGS[operation](number, F.lit(bound))
-    # NaN sorts above everything in Spark, but no comparison holds for it here
-    return holds & ~F.isnan(number) if isinstance(kind, (T.DoubleType, T.FloatType)) else holds
+        return compare(text.to_number(c), F.lit(bound))
+    if isinstance(kind, T.IntegralType) and abs(bound) < 2**31 and bound == int(bound):
+        return compare(c, F.lit(int(bound)))
+    if isinstance(kind, T.NumericType):
+        holds = compare(c.cast("double"), F.lit(bound))
+        # NaN sorts above everything in Spark, but no comparison holds for it here
+        return holds & ~F.isnan(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else holds
+    return F.lit(False)
 
 
 def predicate(f: Filter, schema: T.StructType, loose: bool = False) -> Column:
-    """The filter as a Column that is never NULL.
+    """The filter as a condition; like false, NULL does not keep the row.
 
-    `loose` is for property text that has no declared type: values that read as numbers then count as
-    numbers, all others as text.
+    Conditions on typed columns are bare comparisons, so that they reach the scan. `loose` is for
+    property text without a declared type: values that read as numbers count as numbers, others as text.
     """
     if f.key not in schema.names:
         return F.lit(f.operation == "empty")
     c, kind = col(f.key), schema[f.key].dataType
     is_text = isinstance(kind, T.StringType)
 
-    if f.operation in ("filled", "empty"):
-        filled = c.isNotNull() & (text.strip(c) != "") if is_text else c.isNotNull()
-        return filled if f.operation == "filled" else ~filled
-    if f.operation == "eq":
-        keep = _equals(c, kind, f.value, loose)
-    elif f.operation == "ne":
-        return c.isNotNull() & ~F.coalesce(_equals(c, kind, f.value, loose), F.lit(False))
-    elif f.operation in _ORDERINGS:
-        keep = _compares(c, kind, f.operation, f.value)
-    elif not is_text or not isinstance(f.value, str):
-        keep = F.lit(False)
-    elif f.operation == "contains":
-        keep = F.contains(c, F.lit(f.value))
-    else:
-        keep = c.rlike(regex.to_java(f.value))
-    if loose and f.operation in ("contains", "regex"):
-        keep = keep & ~text.is_number(c)
-    return F.coalesce(keep, F.lit(False))
+    if f.operation == "filled":
+        return c.isNotNull() & (text.strip(c) != "") if is_text else c.isNotNull()
+    if f.operation == "empty":
+        return c.isNull() | (text.strip(c) == "") if is_text else c.isNull()
+    if f.operation in ("eq", "ne"):
+        same = _equals_by_value(c, f.value) if loose and is_text else _equals(c, kind, f.value)
+        if f.operation == "eq":
+            return F.lit(False) if same is None else same
+        return c.isNotNull() if same is None else c.isNotNull() & ~same
+    if f.operation in _ORDERINGS:
+        return _compares(c, kind, f.operation, f.value)
+    if not is_text or not isinstance(f.value, str):
+        return F.lit(False)
+    found = F.contains(c, F.lit(f.value)) if f.operation == "contains" else c.rlike(regex.to_java(f.value))
+    return found & ~text.is_number(c) if loose else found
 
 
 def all_of(filters: list[Filter], schema: T.StructType, loose: list[str] | tuple[str, ...] = ()) -> Column:
