@@ -11,6 +11,12 @@ from logloom.sources.events import scratch_folder
 # ---- layout --------------------------------------------------------------------------------------
 
 
+def log_report(table, spec, staged=True):
+    """Reports with several branches read the log once; listings and single groupings stay one lazy plan."""
+    lines = log_lines(table)
+    return report_lines(lines, spec, stage=scratch_folder(lines.sparkSession) if staged else None)
+
+
 def lineitem_spec(**more):
     return {
         "keys_result": [
@@ -118,7 +124,6 @@ IN_PERIOD = "AND \"timestamp\" BETWEEN TIMESTAMP '2024-01-03 12:00:00' AND TIMES
 def _(table):
     """Filters, grouping, the whole catalogue and a formula, from a log read once."""
     spread = ["sum", "percent", "mean", "median", "p95", "stddev", "min", "max", "intervals_3_5"]
-    lines = log_lines(table)
     spec = {
         **PERIOD, "event_name": "CLICK", "event_limit": 0,
         "keys_result": [
@@ -135,7 +140,7 @@ def _(table):
         ],
         "keys_aggregate": "p:processName", "keys_sort": "duration desc",
     }
-    return report_lines(lines, spec, stage=scratch_folder(lines.sparkSession))
+    return log_report(table, spec)
 
 
 @query("report_events", f"""
@@ -154,14 +159,14 @@ def _(table):
         ],
         "keys_filters": [], "keys_aggregate": "", "keys_sort": "duration desc, EventId asc",
     }
-    return report_lines(log_lines(table), spec)
+    return log_report(table, spec, staged=False)
 
 
 @query("preset_top_calls", f"""
     {ev('CLICK')} SELECT "Context", {SPREAD}, CAST(count(*) AS BIGINT) AS "Count (sum)" FROM ev GROUP BY "Context"
     ORDER BY sum(duration) DESC, "Context" LIMIT 50""")
 def _(table):
-    return report_lines(log_lines(table), presets.over(presets.top_calls(), event_name="CLICK"))
+    return log_report(table, presets.over(presets.top_calls(), event_name="CLICK"))
 
 
 @query("preset_duration_by_context", f"""
@@ -171,7 +176,7 @@ def _(table):
         {rounded('round(round(sum(duration), 9) / count(*), 3)')} AS "Per call, s"
     FROM ev GROUP BY lastcontext""")
 def _(table):
-    return report_lines(log_lines(table), presets.duration_by_context("VIEW"))
+    return log_report(table, presets.duration_by_context("VIEW"))
 
 
 @query("preset_memory_by_user", f"""
@@ -181,7 +186,7 @@ def _(table):
         CAST(count(*) AS BIGINT) AS "Count (sum)"
     FROM ev GROUP BY "Usr" ORDER BY sum("Memory") DESC, "Usr" LIMIT 20""")
 def _(table):
-    return report_lines(log_lines(table), presets.over(presets.memory_by_user(), event_name="PURCHASE"))
+    return log_report(table, presets.over(presets.memory_by_user(), event_name="PURCHASE"), staged=False)
 
 
 @query("preset_slow_sql", f"""
@@ -191,14 +196,14 @@ def _(table):
         CAST(count(*) AS BIGINT) AS "Count (sum)"
     FROM ev GROUP BY "Sql" """)
 def _(table):
-    return report_lines(log_lines(table), presets.slow_sql("ERROR"))
+    return log_report(table, presets.slow_sql("ERROR"))
 
 
 @query("preset_locks", f"""
     {ev('SIGNUP')} SELECT "timestamp" AS "Time", processname AS "Process", filename AS "File", "Usr" AS "User",
         "Context", duration AS "Duration, s" FROM ev""")
 def _(table):
-    return report_lines(log_lines(table), presets.locks("SIGNUP"))
+    return log_report(table, presets.locks("SIGNUP"), staged=False)
 
 
 @query("preset_time_series", f"""
@@ -206,4 +211,4 @@ def _(table):
         CAST(count(*) AS BIGINT) AS "Count (sum)", {rounded('avg(duration)')} AS "Duration, s (avg)"
     FROM ev GROUP BY 1""")
 def _(table):
-    return report_lines(log_lines(table), presets.time_series("VIEW"))
+    return log_report(table, presets.time_series("VIEW"), staged=False)

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 # Bucket units and their length in seconds.
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
-PERIOD_FORMAT = "%y%m%d%H%M%S"
-
 
 def parse_bucket(text: str) -> int:
     """`5m` -> bucket length in microseconds."""
@@ -24,9 +22,12 @@ def parse_bucket(text: str) -> int:
 
 def parse_period(text: str) -> datetime:
     """`YYMMDDhhmmss` -> datetime; two-digit years are 2000 to 2099."""
-    if not re.fullmatch(r"\d{12}", str(text), flags=re.ASCII):
-        raise ValueError(f"bad period bound {text!r}: use YYMMDDhhmmss")
-    return datetime.strptime("20" + str(text), "%Y%m%d%H%M%S")
+    try:
+        if not re.fullmatch(r"\d{12}", str(text), flags=re.ASCII):
+            raise ValueError("twelve digits expected")
+        return datetime.strptime(f"20{text}", "%Y%m%d%H%M%S")
+    except ValueError as error:
+        raise ValueError(f"bad period bound {text!r}, use YYMMDDhhmmss: {error}") from error
 
 
 def ntz(moment: datetime) -> Column:

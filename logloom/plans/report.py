@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from logloom.functions import text
 from logloom.functions.columns import col
 from logloom.functions.times import nearest_time
-from logloom.operators.aggregates import aggregate, round_times
+from logloom.operators.aggregates import Measure, aggregate, round_times
 from logloom.operators.filters import keep_rows
 from logloom.operators.formulas import add_formulas
 from logloom.plans.spec import ReportSpec, SpecError, headers, parse_spec
@@ -36,8 +36,6 @@ def event_columns(spec: ReportSpec) -> EventColumns:
 
 def apply_times(df: DataFrame, spec: ReportSpec) -> DataFrame:
     """Both kinds of time rounding: floor of a named column, and nearest of `timestamp`."""
-    from logloom.operators.aggregates import Measure
-
     df = round_times(df, [Measure(k.name, k.aggregates) for k in spec.keys])
     for key in spec.keys:
         if key.roundtime:
@@ -114,17 +112,19 @@ def report_lines(
 
 
 def run_report(
-    spark: SparkSession, definition: dict[str, Any], stage: bool = True, encoding: str | None = "auto"
+    spark: SparkSession, definition: dict[str, Any], stage: bool = True, encoding: str | None = "auto",
+    folder: str | None = None,
 ) -> DataFrame:
     """The report over log files.
 
     With `stage` the log is read once, when this is called, and its wanted events are kept as Parquet
-    under the cluster's shared folder; the report is computed from there. Without it the result is one
-    lazy plan that reads the log for every branch.
+    in `folder`, or a new one under the cluster's shared folder; the report is computed from there, and
+    the caller removes the folder when the report is no longer needed (`write_report` does so). Without
+    `stage` the result is one lazy plan that reads the log for every branch.
     """
     spec = parse_spec(definition)
     lines = read_lines(
         spark, list(spec.base_directories), list(spec.base_subdirectories or ()), spec.start, spec.end
     )
-    folder = scratch_folder(spark) if stage else None
-    return report_lines(lines, spec, in_file_order=True, encoding=encoding, stage=folder)
+    stage_at = (folder or scratch_folder(spark)) if stage else None
+    return report_lines(lines, spec, in_file_order=True, encoding=encoding, stage=stage_at)

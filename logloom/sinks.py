@@ -21,13 +21,28 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     return path
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder this package has made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_report(
     spark: SparkSession, definition: dict[str, Any], fmt: str = "csv", encoding: str | None = "auto"
 ) -> str:
-    """Run the report over log files and write it to `<output_directory>/<output_file>`."""
-    from logloom.plans.report import run_report
+    """Run the report over log files and write it to `<output_directory>/<output_file>`.
 
-    name = os.path.splitext(definition.get("output_file") or "")
-    stem = name[0] if name[1].lower() in (".xlsx", ".csv", ".parquet", ".json") else "".join(name)
-    path = f"{str(definition.get('output_directory') or '.').rstrip('/')}/{stem or 'report'}"
-    return write_table(run_report(spark, definition, encoding=encoding), path, fmt)
+    The events staged on the way are removed again.
+    """
+    from logloom.plans.report import run_report
+    from logloom.sources.events import scratch_folder
+
+    stem, ending = os.path.splitext(definition.get("output_file") or "report")
+    if ending.lower() not in (".xlsx", ".csv", ".parquet", ".json"):
+        stem += ending
+    path = f"{str(definition.get('output_directory') or '.').rstrip('/')}/{stem}"
+    folder = scratch_folder(spark)
+    try:
+        return write_table(run_report(spark, definition, encoding=encoding, folder=folder), path, fmt)
+    finally:
+        drop_folder(spark, folder)

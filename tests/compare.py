@@ -38,7 +38,11 @@ def table_of(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(made, key=lambda r: tuple((v is not None, str(type(v)), v) if v is not None else (False, "", 0) for v in r))
 
 
-def differences(spark, con, name: str, sf_dir: str, query, sql: str) -> list[str]:
+def _close(a: tuple, b: tuple, slack: float) -> bool:
+    return all(abs(x - y) <= slack if isinstance(x, float) and isinstance(y, float) else x == y for x, y in zip(a, b))
+
+
+def differences(spark, con, name: str, sf_dir: str, query, sql: str, slack: float = 0) -> list[str]:
     df = query(spark, sf_dir)
     got_columns, got = table_of(df.columns, df.collect())
     answer = con.execute(sql)
@@ -47,7 +51,7 @@ def differences(spark, con, name: str, sf_dir: str, query, sql: str) -> list[str
         return [f"columns {got_columns} != {want_columns}"]
     if len(got) != len(want):
         return [f"{len(got)} rows, expected {len(want)}"]
-    return [f"{g} != {w}" for g, w in zip(got, want) if g != w]
+    return [f"{g} != {w}" for g, w in zip(got, want) if g != w and not (slack and _close(g, w, slack))]
 
 
 def main() -> int:
