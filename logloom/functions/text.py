@@ -28,6 +28,9 @@ SQL_LITERALS = (
     r"VALUES\s*\([^)]+\)",
 )
 
+# What any of them starts with; looking for that first passes over ordinary text quickly.
+_LITERAL_START = r"(?=['\dpV])"
+
 # Every character for which Python's str.isspace() holds; all lie below U+3001.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
@@ -76,7 +79,8 @@ def normalize_sql(c: Column) -> Column:
     A single pass brackets every match, which settles which alternative wins at each place; the
     bracketed spans are then rewritten.
     """
-    marked = F.regexp_replace(c, "(?U)" + "|".join(SQL_LITERALS), _OPEN + "$0" + _CLOSE)
+    literal = f"(?U){_LITERAL_START}(?:{'|'.join(SQL_LITERALS)})"
+    marked = F.regexp_replace(c, literal, _OPEN + "$0" + _CLOSE)
     inside = f"[^{_CLOSE}]*"
     temp = F.regexp_replace(marked, f"{_OPEN}{inside}?pg_temp{inside}{_CLOSE}", SQL_TEMP_TABLE)
     return F.regexp_replace(temp, f"{_OPEN}{inside}{_CLOSE}", SQL_PARAMETER)

@@ -200,6 +200,19 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _NO_LIMIT = str(2**31 - 1)
 
 
+# More scan tasks than this would leave too many small files in a staged table.
+MANY_TASKS = 2000
+
+
+def _sized_for_staging(rows: DataFrame) -> DataFrame:
+    """Rows to write as they come from few scan tasks; from many, evened out into files of a good size.
+
+    The rows hold extracted columns of wanted events only, so the shuffle is small beside the scan.
+    """
+    tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()  # the plan is narrow, nothing runs
+    return rows.hint("rebalance") if tasks > MANY_TASKS else rows
+
+
 @contextmanager
 def _unlimited_batches(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_BATCH_BYTES, None)
@@ -248,7 +261,7 @@ def log_events(
     once = with_computed(marked, "raw", F.when(F.col("role") == WHOLE, raw), ["file_path", "__rim"])
     rows = parse_events(once, columns, aside="__rim")
     with _unlimited_batches(spark) if in_file_order else nullcontext():
-        rows.write.mode("overwrite").parquet(stage)
+        (_sized_for_staging(rows) if in_file_order else rows).write.mode("overwrite").parquet(stage)
     saved = spark.read.schema(rows.schema).parquet(stage)
     rims = saved.where(F.col("__rim").isNotNull()).select("__rim.*")
     crossing = parse_events(with_computed(stitch(rims), "raw", raw, ["file_path"]), columns)

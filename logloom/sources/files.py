@@ -8,6 +8,7 @@ files outside the choice are never opened, and no list of paths passes through t
 from __future__ import annotations
 
 import logging
+import re
 from datetime import datetime
 from functools import reduce
 from operator import or_
@@ -100,6 +101,11 @@ def _existing(spark: SparkSession, dirs: list[str]) -> list[tuple[str, str]]:
     return found
 
 
+def _no_glob(directory: str) -> str:
+    """A directory name as a read path: Spark would take brackets and wildcards in it for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", directory)
+
+
 def _encoded(spark: SparkSession, name: str) -> str:
     """A directory name as it stands in `_metadata.file_path`."""
     return spark._jvm.org.apache.hadoop.fs.Path("/" + name).toUri().toString()[1:]
@@ -122,7 +128,7 @@ def list_log_files(
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", LOG_GLOB)
-        .load([directory for directory, _ in found])
+        .load([_no_glob(directory) for directory, _ in found])
         .select("path", "length")
     )
     bases = [spark._jvm.org.apache.hadoop.fs.Path(d).toUri().getPath() for d, _ in found]
@@ -149,7 +155,7 @@ def log_text_scans(
         scan = (
             spark.read.option("recursiveFileLookup", True)
             .option("pathGlobFilter", glob or LOG_GLOB)
-            .text(directory)
+            .text(_no_glob(directory))
             .where(F.col("_metadata.file_size") > min_size)
         )
         if start is not None:

@@ -125,3 +125,11 @@ def test_decoding(spark):
         assert decode_lines(df, encoding).first().value == expected
     with pytest.raises(ValueError):
         decode_lines(spark.range(1).select(F.lit("x").alias("value")), "koi8")
+
+
+def test_brackets_in_directory_names(spark, tmp_path):
+    folder = tmp_path / "srv [1] {a}*" / "full" / "p"
+    folder.mkdir(parents=True)
+    (folder / "24010112.log").write_text(LINE)
+    base = [str(tmp_path / "srv [1] {a}*")]
+    assert read_lines(spark, base, ["full"]).count() == 1 and list_log_files(spark, base, ["full"]).count() == 1

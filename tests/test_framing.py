@@ -78,9 +78,10 @@ def test_lines_in_any_order(spark, log_tree):
     assert sorted(r.raw for r in frame_events(table, "CALL").collect()) == expected
 
 
-@pytest.mark.parametrize("split", ["300b", "128m"])
-def test_staged_equals_lazy(spark, conf, log_tree, tmp_path, split):
+@pytest.mark.parametrize("split, many", [("4000b", 2000), ("4000b", 3)])
+def test_staged_equals_lazy(spark, conf, monkeypatch, log_tree, tmp_path, split, many):
     folder, expected = log_tree
+    monkeypatch.setattr("logloom.sources.events.MANY_TASKS", many)
     conf("spark.sql.files.maxPartitionBytes", split)
     conf("spark.sql.files.openCostInBytes", "0")
     lines = read_lines(spark, [str(folder)], ["full"])
