@@ -220,9 +220,10 @@ def frame_events(
     encoding: str | None = "auto",
 ) -> DataFrame:
     """One row per wanted event: `file_path`, `block` and `seq` (its identity), `raw` (its text)."""
-    fragments = event_fragments(lines, event_name, start, end, in_file_order)
-    whole = fragments.where(F.col("role") == WHOLE)
-    rims = fragments.where(F.col("role") != WHOLE)
+    whole = event_fragments(lines, event_name, start, end, in_file_order).where(F.col("role") == WHOLE)
+    # files read as one split have no rims
+    cut = lines.where(~F.col("sole")) if "sole" in lines.columns else lines
+    rims = event_fragments(cut, event_name, start, end, in_file_order).where(F.col("role") != WHOLE)
     identity = ["file_path", "block", "seq"]
 
     def finish(df: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def log_tree(tmp_path):
     return tmp_path, sorted(expected)
 
 
-@pytest.mark.parametrize("split", ["200b", "1000b", "9000b", "128m"])
+@pytest.mark.parametrize("split", ["400b", "9000b", "128m"])
 @pytest.mark.parametrize("batch", ["7", "10000"])
 def test_splits_and_batches_do_not_matter(spark, conf, log_tree, split, batch):
     folder, expected = log_tree

@@ -197,3 +197,20 @@ def test_other_formats(spark, frame, tmp_path, fmt):
     assert back.count() == 3 and set(back.columns) == {"Имя, с", "V (sum)", "V (% влияния)"}
     with pytest.raises(ValueError):
         write_table(made, str(tmp_path / "x"), "xlsx")
+
+
+def test_job_entry(spark, logs, tmp_path, capsys):
+    import json
+
+    from logloom.__main__ import load_definition, main
+
+    definition = file_spec(logs, presets.memory_by_user())
+    definition.update(output_directory=str(tmp_path), output_file="Отчёт.xlsx")
+    for encoding in ("utf-8", "utf-8-sig", "cp1251"):
+        path = tmp_path / f"{encoding}.json"
+        path.write_bytes(json.dumps(definition, ensure_ascii=False).encode(encoding))
+        assert load_definition(str(path)) == definition
+    assert main([str(path), "json"]) == 0
+    assert capsys.readouterr().out.strip() == f"{tmp_path}/Отчёт"
+    assert spark.read.json(f"{tmp_path}/Отчёт").count() == 2
+    assert main([]) == 2
