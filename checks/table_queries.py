@@ -290,9 +290,6 @@ def _(table):
 
 # ---- text functions ------------------------------------------------------------------------------
 
-W, NW = r"[\p{L}\p{N}\p{M}_]", r"[^\p{L}\p{N}\p{M}_]"
-
-
 @query("txt_last_line", "SELECT doc_id, string_split(text, chr(10))[-1] AS last FROM documents")
 def _(table):
     return table("documents").select("doc_id", last_line(F.col("text"), "\n").alias("last"))

@@ -54,10 +54,17 @@ def event_time(file_name: Column, line: Column) -> Column:
     return _clock(F.substring(file_name, 1, 8), minute, second)
 
 
+def _micros(c: Column) -> Column:
+    """Microseconds since 1970-01-01 on the same clock; unlike timestamp_diff, free of any time zone."""
+    seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    fraction = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return seconds * 1_000_000 + fraction
+
+
 def _bucketed(c: Column, bucket: str, shift: bool) -> Column:
     size = parse_bucket(bucket)
     epoch = ntz(datetime(1970, 1, 1))
-    micros = F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz"))
+    micros = _micros(c.cast("timestamp_ntz"))
     if shift:
         micros = micros + F.lit(size // 2)
     whole = micros - F.pmod(micros, F.lit(size))

@@ -160,6 +160,14 @@ def test_time_buckets(spark):
             parse_bucket(bad)
 
 
+def test_time_buckets_know_no_time_zone(spark, conf):
+    conf("spark.sql.session.timeZone", "America/New_York")
+    df = spark.sql("SELECT timestamp_ntz'2024-07-04 00:30:00.25' a, timestamp_ntz'2024-03-10 02:30:00' b")
+    cells = [floor_time(F.col("a"), "1d"), nearest_time(F.col("a"), "1h"), floor_time(F.col("b"), "5m"), floor_time(F.col("b"), "1d")]
+    got = df.select(*[c.cast("string").alias(str(i)) for i, c in enumerate(cells)]).first()
+    assert tuple(got) == ("2024-07-04 00:00:00", "2024-07-04 01:00:00", "2024-03-10 02:30:00", "2024-03-10 00:00:00")
+
+
 def test_formulas(spark):
     df = spark.createDataFrame([(7, 2.0, 0), (-7, 2.0, 5), (7, -2.0, None)], "a int, b double, c int")
     cases = {
