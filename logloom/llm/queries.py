@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import mixing, simhash
+from logloom.llm import mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,9 @@ def _simhash_groups(table) -> DataFrame:
     """Every document's fingerprint and the least document of its group."""
     found = simhash.near_duplicates(table("documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op2_quality_scores")
+def _quality_scores(table) -> DataFrame:
+    """Every document's quality score and what it predicts."""
+    return quality.classify(table("documents"), table("labels"))
