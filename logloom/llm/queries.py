@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import mixing, quality, simhash
+from logloom.llm import line_dedup, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,26 @@ def _simhash_groups(table) -> DataFrame:
 def _quality_scores(table) -> DataFrame:
     """Every document's quality score and what it predicts."""
     return quality.classify(table("documents"), table("labels"))
+
+
+LINES_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(list_zip(range(len(x)), x)) AS z FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+t AS (SELECT doc_id, z[1] AS line_no, list_sort(list_distinct(regexp_extract_all(z[2], '[^\x20\x09-\x0D]+'))) AS toks FROM l),
+s AS (SELECT toks, min((doc_id, line_no)) AS place, row_number() OVER () AS id, len(toks) AS n FROM t WHERE len(toks) > 0 GROUP BY toks),
+w AS (SELECT id, n, unnest(toks) AS w FROM s),
+f AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+p AS (SELECT * FROM (SELECT id, n, w.w, row_number() OVER (PARTITION BY id ORDER BY c, w.w) AS r FROM w JOIN f USING (w)) WHERE r <= n - (4 * n + 4) // 5 + 1),
+k AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.w = b.w AND a.id < b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT CASE WHEN x.place > y.place THEN x.id ELSE y.id END AS id FROM k JOIN s x ON x.id = k.a JOIN s y ON y.id = k.b
+      WHERE 5 * len(list_intersect(x.toks, y.toks)) >= 4 * (x.n + y.n - len(list_intersect(x.toks, y.toks)))),
+g AS (SELECT t.*, len(t.toks) > 0 AND ((t.doc_id, t.line_no) <> s.place OR s.id IN (SELECT id FROM m)) AS gone FROM t LEFT JOIN s ON s.toks = t.toks)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+       coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (gone), '') AS removed_lines
+FROM g GROUP BY doc_id"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def _line_dedup(table) -> DataFrame:
+    """Which lines of each document repeat an earlier one."""
+    found = line_dedup.removed_lines(table("documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
