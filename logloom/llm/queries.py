@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup, mixing, quality, simhash
+from logloom.llm import line_dedup, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def _line_dedup(table) -> DataFrame:
     """Which lines of each document repeat an earlier one."""
     found = line_dedup.removed_lines(table("documents"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
+@query("op8_best_fit_packing")
+def _best_fit_packing(table) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return packing.packed_documents(table("documents"))
