@@ -9,6 +9,7 @@ fingerprints share such a signature, so equal signatures are joined and the dist
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -119,21 +120,36 @@ def fingerprints(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     return columns_of(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, fingerprint long")
 
 
-def signatures(fingerprint, cuts: int, kept: int):
-    """All signatures of a fingerprint: its places outside the chosen segments cleared, and one inside.
+def _choices(cuts: int, kept: int) -> list[list[int]]:
+    """The places of every choice of `kept` among `cuts` segments."""
+    edges = [64 * i // cuts for i in range(cuts + 1)]
+    return [[p for s in chosen for p in range(edges[s], edges[s + 1])] for chosen in combinations(range(cuts), kept)]
 
-    `kept` of `cuts` segments are taken at a time; the fewest differing places in any `kept` segments must be at most one.
-    """
-    from itertools import combinations
 
-    edges = [64 * i // cuts for i in range(cuts + 1)]
-    made = []
-    for chosen in combinations(range(cuts), kept):
-        places = [p for s in chosen for p in range(edges[s], edges[s + 1])]
-        for out in places:
-            mask = sum(1 << p for p in places if p != out)
-            made.append(fingerprint.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-    return F.array(*made)
+def _mask(places: list[int]):
+    mask = sum(1 << p for p in places)
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def signatures(fingerprint, cuts: int, kept: int):
+    """All signatures of a fingerprint: for each choice of segments, its places but one, the others cleared."""
+    return F.array(*[
+        fingerprint.bitwiseAND(_mask([p for p in places if p != out])) for places in _choices(cuts, kept) for out in places
+    ])
+
+
+def _first_shared(differing, cuts: int, kept: int):
+    """Which is the first signature that two fingerprints share, from the places in which they differ."""
+    found, base = F.lit(None).cast("int"), 0
+    cases = []
+    for places in _choices(cuts, kept):
+        here, mask = differing.bitwiseAND(_mask(places)), _mask(places)
+        below = F.coalesce(F.try_subtract(here, F.lit(1)), F.lit(2**63 - 1)).bitwiseAND(mask)
+        cases += [(here == 0, F.lit(base)), (F.bit_count(here) == 1, F.lit(base) + F.bit_count(below))]
+        base += len(places)
+    for when, then in reversed(cases):
+        found = F.when(when, then).otherwise(found)
+    return found
 
 
 def _check_cuts(bits: int, cuts: int, kept: int) -> None:
@@ -147,15 +163,16 @@ def near_links(prints: DataFrame, bits: int = BITS, cuts: int | None = None, kep
     """Links `u` < `v` between distinct fingerprints (a long column `fingerprint`) that differ in at most `bits` places.
 
     By default the fewest segments are cut of which one differs by at most one place. Each fingerprint then has 64
-    signatures of about 64 / cuts places. With very many fingerprints, longer signatures keep chance meetings down:
+    signatures of about 64 / cuts places; a pair is given at the first that it shares. With very many fingerprints, longer signatures keep chance meetings down:
     `cuts=6, kept=3` gives 640 of 32 places (for 4 bits).
     """
     cuts = cuts or bits // 2 + 1
     _check_cuts(bits, cuts, kept)
     one = prints.select(F.col("fingerprint").alias("u"), F.posexplode(signatures(F.col("fingerprint"), cuts, kept)).alias("at", "sign"))
     two = one.select(F.col("u").alias("v"), "at", "sign")
-    near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
-    return one.join(two, ["at", "sign"]).where(near).select("u", "v").distinct()
+    differing = F.col("u").bitwiseXOR(F.col("v"))
+    near = (F.col("u") < F.col("v")) & (F.bit_count(differing) <= bits) & (F.col("at") == _first_shared(differing, cuts, kept))
+    return one.join(two, ["at", "sign"]).where(near).select("u", "v")
 
 
 def near_duplicates(
