@@ -21,7 +21,11 @@ from logloom.llm.common import columns_of, words
 
 NUM, DEN = 4, 5
 #: Counters of the rarity table, a fixed size for any corpus.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
+
+
+def _has_word(text: Column) -> Column:
+    return text.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _counter(word: Column) -> Column:
@@ -32,15 +36,16 @@ def rarity_levels(texts: DataFrame) -> bytes:
     """For each counter a byte that rises with the number of words that fall on it, over all of column `text`.
 
     Words that share a counter count together, so this overestimates; any order of words gives the same matches,
-    and this one costs a fixed 64 kB.
+    and this one costs a fixed number of bytes.
     """
     counts = texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy(_counter(F.col("word")).alias("at")).count()
-    # half octaves as printable bytes; the table is complete and in order when it leaves Spark
-    level = (F.lit(33) + F.floor(2 * F.log2("count"))).cast("int")
-    rows = counts.select("at", level.alias("level")).collect()  # at most COUNTERS rows
+    # half octaves as printable bytes
+    level = (F.lit(33) + F.floor(2 * F.log2("count"))).cast("int").alias("level")
+    blocks = counts.groupBy(F.floor(F.col("at") / 4096).alias("block")).agg(F.collect_list(F.struct("at", level)).alias("counters"))
     made = bytearray([33]) * COUNTERS
-    for row in rows:
-        made[row["at"]] = row["level"]
+    for block in blocks.collect():  # at most COUNTERS counters
+        for at, value in block["counters"]:
+            made[at] = value
     return bytes(made)
 
 
@@ -56,7 +61,7 @@ def _sets(rows: DataFrame, levels: bytes) -> DataFrame:
         lambda w: F.concat(F.substring(table, _counter(w) + 1, F.lit(1)).cast("string"), w),
     )
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    packed = lines.select("doc_id", "row", "line_no", F.concat_ws(" ", F.array_sort(keyed)).alias("words")).where("words != ''")
+    packed = lines.where(_has_word(F.col("line"))).select("doc_id", "row", "line_no", F.concat_ws(" ", F.array_sort(keyed)).alias("words"))
     named = packed.withColumn("s1", F.xxhash64("words")).withColumn("s2", F.hash(F.lit(7), "words"))
     return named.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "line_no", "words")).alias("first"))
 
@@ -67,7 +72,10 @@ def _at_least(numerator: Column, denominator: int) -> Column:
 
 
 def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets that share a prefix word and pass the length and position filters."""
+    """Pairs of sets that share enough prefix words for their lengths and places.
+
+    Words are joined by a hash; hashes that clash can only add candidates.
+    """
     tokens = sets.select("s1", "s2", F.split("first.words", " ").alias("w")).withColumn("n", F.size("w"))
     prefix = F.slice("w", 1, F.col("n") - _at_least(F.col("n") * num, den) + 1)
     # a set with fewer words matches none but itself
@@ -75,11 +83,17 @@ def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     one = long.select("s1", "s2", "n", F.posexplode(prefix).alias("i", "w"))
     one = one.select(F.hash("w").alias("h"), (F.col("n") * 2**31 + F.col("i")).cast("long").alias("ni"), "s1", "s2")
     two = one.select("h", *[F.col(c).alias(f"{c}_b") for c in ("ni", "s1", "s2")])
-    n_a, i_a, n_b, i_b = [F.shiftright("ni", 31), F.col("ni").bitwiseAND(2**31 - 1), F.shiftright("ni_b", 31), F.col("ni_b").bitwiseAND(2**31 - 1)]
     ordered = (F.col("s1") < F.col("s1_b")) | ((F.col("s1") == F.col("s1_b")) & (F.col("s2") < F.col("s2_b")))
-    lengths = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
-    positions = F.least(n_a - i_a, n_b - i_b) * (num + den) >= (n_a + n_b) * num
-    return one.join(two, "h").where(ordered & lengths & positions).select("s1", "s2", "s1_b", "s2_b").distinct()
+    size = lambda c: F.shiftright(c, 31)
+    lengths = F.least(size("ni"), size("ni_b")) * den >= F.greatest(size("ni"), size("ni_b")) * num
+    met = one.join(two, "h").where(ordered & lengths)
+    met = met.groupBy("s1", "s2", "s1_b", "s2_b").agg(F.count("*").alias("shared"), F.min("ni").alias("ni"), F.min("ni_b").alias("ni_b"))
+    n_a, i_a, n_b, i_b = size("ni"), F.col("ni").bitwiseAND(2**31 - 1), size("ni_b"), F.col("ni_b").bitwiseAND(2**31 - 1)
+    least = _at_least((n_a + n_b) * num, num + den)
+    # with the prefix that ends first, all that is not shared there is missing from the other set
+    enough = F.col("shared") >= least + 1 - F.greatest(_at_least(n_a * num, den), _at_least(n_b * num, den))
+    positions = F.least(n_a - i_a, n_b - i_b) + 1 >= least
+    return met.where(enough & positions).select("s1", "s2", "s1_b", "s2_b")
 
 
 def _later_matches(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -116,7 +130,7 @@ def _joined(rows: DataFrame, kept: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """`doc_id`, `n_lines` and `removed`, the numbers (from 0) of the lines that go, for every row of `docs`."""
     rows = _rows(columns_of(docs, "doc_id", "text"))
-    worded = F.transform(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    worded = F.transform(F.split("text", "\n", -1), _has_word)
     slim = rows.select("doc_id", "row", worded.alias("worded"))
     numbers = F.transform("worded", lambda has, i: F.when(has & ~F.array_contains("kept", i), i))
     return _joined(slim, _kept_lines(rows, num, den)).select(
@@ -129,7 +143,7 @@ def without_repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> D
     """The documents with doc_id, text, lang, source and n_chars, their repeated lines taken out."""
     slim = columns_of(docs, "doc_id", "text", "lang", "source", "n_chars")
     rows = _rows(slim)
-    stays = lambda line, i: ~line.rlike(r"[^\x20\x09-\x0D]") | F.array_contains("kept", i)
+    stays = lambda line, i: ~_has_word(line) | F.array_contains("kept", i)
     left = F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")
     found = _joined(rows, _kept_lines(rows, num, den)).withColumn("left", left)
     changed = F.col("text").isNotNull() & (F.col("left") != F.col("text"))
