@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup, mixing, packing, quality, simhash
+from logloom.llm import fingerprints, line_dedup, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,13 @@ def _line_dedup(table) -> DataFrame:
 def _best_fit_packing(table) -> DataFrame:
     """Every document's pieces and their places in sequences of 1024 tokens."""
     return packing.packed_documents(table("documents"))
+
+
+@query("op9_i_match")
+def _i_match(table) -> DataFrame:
+    """Every document's fingerprint and that of its edited text, with their likeness and that to the next document's."""
+    found = fingerprints.edited_likeness(table("documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("tags")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_tags")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
