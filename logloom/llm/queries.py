@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import fingerprints, line_dedup, mixing, packing, quality, simhash
+from logloom.llm import fingerprints, line_dedup, mixing, packing, quality, simhash, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,22 @@ def _i_match(table) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("tags")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_tags")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+WINDOWS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+p AS (SELECT doc_id, len(x) AS n, unnest(range(1, len(x) - 48)) AS i, x FROM w WHERE len(x) >= 50),
+s AS (SELECT doc_id, i, md5(array_to_string(x[i : i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM s JOIN m USING (h) WHERE doc_id > least),
+t AS (SELECT doc_id, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS at FROM w),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.at) AS kept, count(*) AS n FROM t ANTI JOIN g ON g.doc_id = t.doc_id AND g.at = t.at GROUP BY t.doc_id)
+SELECT w.doc_id, len(x)::BIGINT AS n_words, (len(x) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+
+@query("op4_window_dedup", WINDOWS_SQL)
+def _window_dedup(table) -> DataFrame:
+    """What is left of each document without the passages of earlier ones."""
+    found = window_dedup.without_repeated_windows(table("documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
