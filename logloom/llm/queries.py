@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import fingerprints, line_dedup, mixing, packing, quality, simhash, window_dedup
+from logloom.llm import fingerprints, line_dedup, mixing, packing, quality, simhash, suffix_dedup, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,10 @@ def _window_dedup(table) -> DataFrame:
     """What is left of each document without the passages of earlier ones."""
     found = window_dedup.without_repeated_windows(table("documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_dedup")
+def _suffix_dedup(table) -> DataFrame:
+    """What is left of each document's bytes without strings that occur elsewhere."""
+    found = suffix_dedup.without_repeated_strings(table("documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
