@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import fingerprints, line_dedup, mixing, packing, quality, simhash, suffix_dedup, window_dedup
+from logloom.llm import fingerprints, line_dedup, mixing, nearest, packing, quality, simhash, suffix_dedup, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,10 @@ def _suffix_dedup(table) -> DataFrame:
     """What is left of each document's bytes without strings that occur elsewhere."""
     found = suffix_dedup.without_repeated_strings(table("documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_nearest_neighbours")
+def _nearest_neighbours(table) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    found = nearest.nearest_neighbours(table("embeddings"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
