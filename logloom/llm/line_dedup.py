@@ -61,7 +61,7 @@ def _sets(rows: DataFrame, levels: bytes) -> DataFrame:
         lambda w: F.concat(F.substring(table, _counter(w) + 1, F.lit(1)).cast("string"), w),
     )
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    packed = lines.where(_has_word(F.col("line"))).select("doc_id", "row", "line_no", F.concat_ws(" ", F.array_sort(keyed)).alias("words"))
+    packed = lines.where(_has_word(F.col("line"))).select("doc_id", "row", "line_no", F.concat_ws(" ", F.transform(F.array_sort(keyed), lambda w: F.substring(w, F.lit(2), F.length(w)))).alias("words"))
     named = packed.withColumn("s1", F.xxhash64("words")).withColumn("s2", F.hash(F.lit(7), "words"))
     return named.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "line_no", "words")).alias("first"))
 
@@ -74,21 +74,30 @@ def _at_least(numerator: Column, denominator: int) -> Column:
 def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of sets that share enough prefix words for their lengths and places.
 
+    Before that, most others fall to the number of words that they must differ in.
+
     Words are joined by a hash; hashes that clash can only add candidates.
     """
     tokens = sets.select("s1", "s2", F.split("first.words", " ").alias("w")).withColumn("n", F.size("w"))
+    # each word flips one of 64 bits, so two sets differ in at least as many words as bits
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(3), w), F.lit(64)).cast("int"))
+    tokens = tokens.withColumn("bits", F.aggregate("w", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w))))
     prefix = F.slice("w", 1, F.col("n") - _at_least(F.col("n") * num, den) + 1)
     # a set with fewer words matches none but itself
     long = tokens.where(F.floor(F.col("n") * den / num) > F.col("n"))
-    one = long.select("s1", "s2", "n", F.posexplode(prefix).alias("i", "w"))
-    one = one.select(F.hash("w").alias("h"), (F.col("n") * 2**31 + F.col("i")).cast("long").alias("ni"), "s1", "s2")
-    two = one.select("h", *[F.col(c).alias(f"{c}_b") for c in ("ni", "s1", "s2")])
-    ordered = (F.col("s1") < F.col("s1_b")) | ((F.col("s1") == F.col("s1_b")) & (F.col("s2") < F.col("s2_b")))
-    size = lambda c: F.shiftright(c, 31)
-    lengths = F.least(size("ni"), size("ni_b")) * den >= F.greatest(size("ni"), size("ni_b")) * num
-    met = one.join(two, "h").where(ordered & lengths)
+    one = long.select("s1", "s2", "n", "bits", F.posexplode(prefix).alias("i", "w"))
+    one = one.select(F.hash("w").alias("h"), (F.col("n") * 2**31 + F.col("i")).cast("long").alias("ni"), "s1", "s2", "bits")
+    # both sides read the same shuffled rows
+    a, b = one.alias("a"), one.alias("b")
+    n_a, n_b = F.shiftright("a.ni", 31), F.shiftright("b.ni", 31)
+    ordered = (F.col("a.s1") < F.col("b.s1")) | ((F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") < F.col("b.s2")))
+    lengths = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
+    bits = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n_a + n_b - 2 * _at_least((n_a + n_b) * num, num + den)
+    met = a.join(b, F.col("a.h") == F.col("b.h")).where(ordered & lengths & bits).select(
+        "a.s1", "a.s2", "a.ni", *[F.col(f"b.{c}").alias(f"{c}_b") for c in ("s1", "s2", "ni")],
+    )
     met = met.groupBy("s1", "s2", "s1_b", "s2_b").agg(F.count("*").alias("shared"), F.min("ni").alias("ni"), F.min("ni_b").alias("ni_b"))
-    n_a, i_a, n_b, i_b = size("ni"), F.col("ni").bitwiseAND(2**31 - 1), size("ni_b"), F.col("ni_b").bitwiseAND(2**31 - 1)
+    n_a, i_a, n_b, i_b = [f(c) for c in ("ni", "ni_b") for f in (lambda c: F.shiftright(c, 31), lambda c: F.col(c).bitwiseAND(2**31 - 1))]
     least = _at_least((n_a + n_b) * num, num + den)
     # with the prefix that ends first, all that is not shared there is missing from the other set
     enough = F.col("shared") >= least + 1 - F.greatest(_at_least(n_a * num, den), _at_least(n_b * num, den))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import fingerprints, line_dedup, mixing, nearest, packing, quality, simhash, suffix_dedup, window_dedup
+from logloom.llm import attribution, fingerprints, line_dedup, mixing, nearest, packing, quality, simhash, suffix_dedup, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,9 @@ def _nearest_neighbours(table) -> DataFrame:
     """The 20 nearest rows of every twentieth vector."""
     found = nearest.nearest_neighbours(table("embeddings"))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op1_section_tokens")
+def _section_tokens(table) -> DataFrame:
+    """How many tokens each line of each document has, of one encoding of the whole text."""
+    return attribution.section_tokens(table("documents"))
