@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 LANES = 2
 
 

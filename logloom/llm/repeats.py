@@ -12,6 +12,8 @@ whose anchor is estimated to repeat are looked at again, and exactly; none that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,34 +67,60 @@ def is_suspected(part: pa.RecordBatch, rows: np.ndarray, hashes: np.ndarray) ->
 
 
 SPANS = "key_id long, row long, spans binary"
+BUCKETS = "bucket long, payload binary"
+SPAN = np.dtype([("key_id", "<i8"), ("row", "<i8"), ("start", "<i8"), ("end", "<i8")])
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def span_batch(keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    """Ranges of documents, named by key and row hash, as one binary value of maximal ranges for each."""
-    order = np.lexsort((starts, rows, keys))
-    keys, rows, starts, ends = keys[order], rows[order], starts[order], ends[order]
-    edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
-    # one after another on one long axis, so that all are joined in one go
-    of = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(keys))))
-    reach = int(ends.max()) + 1 if len(ends) else 1
-    a, b = arrays.spans_of(starts + of * reach, ends + of * reach)
+def joined(spans: np.ndarray) -> np.ndarray:
+    """Ranges of documents (SPAN) as maximal ranges, in order of document."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["start"], spans["row"], spans["key_id"]))]
+    new = np.concatenate([[True], (spans["key_id"][1:] != spans["key_id"][:-1]) | (spans["row"][1:] != spans["row"][:-1])])
+    # one document after another on one long axis, so that all are joined in one go
+    owner, edge, reach = np.cumsum(new) - 1, np.flatnonzero(new), int(spans["end"].max()) + 1
+    a, b = arrays.spans_of(spans["start"] + owner * reach, spans["end"] + owner * reach)
     owner = a // reach
-    pairs = np.stack([a % reach, b - owner * reach], axis=1).astype("<i8")
-    bounds = np.concatenate([np.searchsorted(owner, np.arange(len(edge))), [len(owner)]])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[edge]), pa.array(rows[edge]), arrays.binaries(pairs.ravel(), 2 * bounds)], [*KEY, "spans"],
-    )
+    made = spans[edge[owner]]
+    made["start"], made["end"] = a % reach, b - owner * reach
+    return made
+
+
+def bucketed(keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Ranges of documents, one row for each bucket of documents."""
+    spans = np.empty(len(keys), SPAN)
+    spans["key_id"], spans["row"], spans["start"], spans["end"] = keys, rows, starts, ends
+    spans = joined(spans)
+    of = (arrays.mixed(spans["key_id"].astype(U64)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    edge = arrays.runs(of[order])
+    return pa.RecordBatch.from_arrays([pa.array(of[order][edge]), arrays.binaries(spans[order], np.append(edge, len(spans)))], ["bucket", "payload"])
+
+
+def by_document(buckets: DataFrame) -> DataFrame:
+    """The ranges of each document in one binary value, from `bucketed` rows of all tasks."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = joined(np.frombuffer(b"".join(x for batch in batches for x in batch.column("payload").to_pylist()), SPAN))
+        edge = np.union1d(arrays.runs(spans["key_id"]), arrays.runs(spans["row"]))
+        pairs = np.stack([spans["start"], spans["end"]], axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(spans["key_id"][edge]), pa.array(spans["row"][edge]), arrays.binaries(pairs, 2 * np.append(edge, len(spans)))], [*KEY, "spans"],
+        )
+
+    return buckets.repartition("bucket").mapInArrow(merge, SPANS)
 
 
 def with_spans(base: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every document with the list of its `spans`, if any."""
-    gathered = spans.groupBy(*KEY).agg(F.collect_list("spans").alias("spans"))
-    return base.join(gathered, KEY, "left").select(*base.columns, "spans")
+    """Every document with its `spans`, if any."""
+    return base.join(spans, KEY, "left").select(*base.columns, "spans")
 
 
-def read_spans(values: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    """The union of what span_batch wrote."""
-    if not values:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.frombuffer(b"".join(values), "<i8").reshape(-1, 2)
-    return arrays.spans_of(pairs[:, 0], pairs[:, 1])
+def read_spans(value: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the ranges of a document."""
+    pairs = np.frombuffer(value or b"", "<i8").reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]

@@ -22,7 +22,8 @@ from logloom.llm import arrays, repeats
 from logloom.llm.arrays import U64, Ranges
 
 WINDOW, GRAM = 50, 20
-SLICE_BITS = 12
+#: Slices of windows for each shuffle partition.
+SLICES = 4
 ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("key_id", "<i8"), ("row", "<i8"), ("start", "<i8")])
 
 
@@ -67,12 +68,12 @@ def _taken(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, entries["key_id"] > least
 
 
-def _spans(entries: np.ndarray, window: int) -> pa.RecordBatch:
-    return repeats.span_batch(entries["key_id"], entries["row"], entries["start"], entries["start"] + window)
+def _spans(entries: np.ndarray, window: int, buckets: int) -> pa.RecordBatch:
+    return repeats.bucketed(entries["key_id"], entries["row"], entries["start"], entries["start"] + window, buckets)
 
 
-def _windows(window: int, gram: int):
-    """From suspected documents: spans that are settled here, with their key, and by slice the windows that are not."""
+def _windows(window: int, gram: int, slices: int, buckets: int):
+    """From suspected documents: spans that are settled here, by bucket, and by slice the windows that are not."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.groups(batches, "text"):
@@ -88,32 +89,30 @@ def _windows(window: int, gram: int):
             entries["row"] = part.column("row").to_numpy()[rows]
             entries["start"] = starts - words.first[rows]
             entries, taken = _taken(entries)
-            done = _spans(entries[taken], window)
-            anywhere = pa.array(done.column("row").to_numpy() & ((1 << SLICE_BITS) - 1))
-            yield pa.RecordBatch.from_arrays([anywhere, *done.columns], ["slice", *repeats.KEY, "payload"])
-            left = entries[~taken]  # still in order of h1, and so of slices
-            slices = (left["h1"] >> U64(64 - SLICE_BITS)).astype(np.int64)
-            edge = arrays.runs(slices)
-            payload = arrays.binaries(left, np.append(edge, len(left)))
-            none = pa.nulls(len(edge), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(slices[edge]), none, none, payload], ["slice", *repeats.KEY, "payload"])
+            done = _spans(entries[taken], window, buckets)
+            yield pa.RecordBatch.from_arrays([done.column("bucket"), *done.columns], ["slice", "bucket", "payload"])
+            left = entries[~taken]
+            of = (left["h1"] % U64(slices)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            edge = arrays.runs(of[order])
+            payload = arrays.binaries(left[order], np.append(edge, len(left)))
+            yield pa.RecordBatch.from_arrays([pa.array(of[order][edge]), pa.nulls(len(edge), pa.int64()), payload], ["slice", "bucket", "payload"])
 
     return scan
 
 
-def _across(window: int):
+def _across(window: int, buckets: int):
     """Settles windows over all groups of documents; equal windows are in one task, which holds only its share of the slices."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            settled = pc.is_valid(batch.column("key_id"))
-            done = batch.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("key_id", "row", "payload")], [*repeats.KEY, "spans"])
+            settled = pc.is_valid(batch.column("bucket"))
+            yield batch.filter(settled).select(["bucket", "payload"])
             held += batch.filter(pc.invert(settled)).column("payload").to_pylist()
         entries, taken = _taken(np.frombuffer(b"".join(held), ENTRY))
         del held
-        yield _spans(entries[taken], window)
+        yield _spans(entries[taken], window, buckets)
 
     return scan
 
@@ -122,8 +121,9 @@ def repeated_spans(base: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """Ranges of word numbers that go, for documents from `repeats.keyed`."""
     hits = repeats.suspected(base.mapInArrow(_anchors(window, gram), repeats.ANCHORS))
     suspects = base.join(hits, repeats.KEY).select(*base.columns, "cells")
-    found = suspects.mapInArrow(_windows(window, gram), "slice long, key_id long, row long, payload binary")
-    return found.repartition("slice").mapInArrow(_across(window), repeats.SPANS)
+    buckets = repeats.partitions(base)
+    found = suspects.mapInArrow(_windows(window, gram, SLICES * buckets, buckets), f"slice long, {repeats.BUCKETS}")
+    return repeats.by_document(found.repartition("slice").mapInArrow(_across(window, buckets), repeats.BUCKETS))
 
 
 def without_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
