@@ -6,7 +6,8 @@ neighbouring windows with the same anchor. Pieces go to shards by anchor, so tha
 array is induced linearly, and where two neighbouring suffixes share LENGTH bytes both windows repeat.
 
 Equal pieces are told by 128 bits of hash before they travel: of several in a group of documents all windows repeat, and only one
-of them is sent on, as a witness. So a passage that a third of all documents share arrives once from each group.
+of them is sent on, as a witness. So a passage that a third of all documents share arrives once from each group. Of
+what arrives, equal pieces are settled in the same way, and suffix arrays are built of those that share an anchor but differ.
 
 Defined cases: a NULL or empty text has no bytes; rows that are repeated whole are each other's repeats; a text of any length is gone
 through in parts that overlap; what is left of a text may be no valid UTF-8, so it is given as bytes.
@@ -26,7 +27,7 @@ from logloom.llm.arrays import BYTE_SYMBOLS, Ranges
 from logloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
-PART_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
+PART_BYTES, SHARD_BYTES = 2 << 20, 2 << 20
 # No UTF-8 text holds this byte; it ends every piece of a shard.
 BETWEEN = 255
 PIECES = "cell long, key_id long, row long, start long, known boolean, piece binary"
@@ -55,8 +56,8 @@ def _anchors(length: int, gram: int):
     return scan
 
 
-def _pieces(length: int, gram: int):
-    """Pieces of suspected documents by anchor, one of equals; and the spans that are settled by equals, as pieces of no shard."""
+def _pieces(length: int, gram: int, buckets: int):
+    """Pieces of suspected documents by anchor, one of equals; and the spans that are settled by equals, with their bucket for a key."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.groups(batches, "text", PART_BYTES):
@@ -75,10 +76,10 @@ def _pieces(length: int, gram: int):
                 copies = np.diff(np.append(edge, len(order)))
                 settled = order[np.repeat(copies > 1, copies)]
                 at = rows[settled]
-                done = repeats.span_batch(keys[at], hashed[at], begin[settled] + first - offsets[at], end[settled] + first - offsets[at])
+                done = repeats.bucketed(keys[at], hashed[at], begin[settled] + first - offsets[at], end[settled] + first - offsets[at], buckets)
                 none = pa.nulls(done.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [done.column("row"), done.column("key_id"), done.column("row"), none, pa.nulls(done.num_rows, pa.bool_()), done.column("spans")], NAMES,
+                    [done.column("bucket"), done.column("bucket"), none, none, pa.nulls(done.num_rows, pa.bool_()), done.column("payload")], NAMES,
                 )
                 one, at = order[edge], rows[order[edge]]
                 lengths = end[one] - begin[one]
@@ -105,7 +106,7 @@ def _repeats(text: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
     return again[at] & (np.repeat(bounds[1:], lengths) - np.arange(len(text)) >= length)
 
 
-def _shards(length: int):
+def _shards(length: int, buckets: int):
     """Spans that repeat among the pieces of a task, a shard at a time; an anchor's pieces are never parted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,31 +114,44 @@ def _shards(length: int):
         for batch in batches:
             settled = pc.is_null(batch.column("start"))
             done = batch.filter(settled)
-            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("key_id", "row", "piece")], [*repeats.KEY, "spans"])
+            yield pa.RecordBatch.from_arrays([done.column("key_id"), done.column("piece")], ["bucket", "payload"])
             held.append(batch.filter(pc.invert(settled)))
         table = pa.Table.from_batches(held).combine_chunks() if held else None
         if table is None or not table.num_rows:
             return
         del held
-        cells = table.column("cell").to_numpy()
-        order = np.argsort(cells, kind="stable")
-        sizes = pc.binary_length(table.column("piece")).to_numpy()[order]
-        total, edge = np.cumsum(sizes), np.append(arrays.runs(cells[order]), len(order))
+        cells, known = table.column("cell").to_numpy(), table.column("known").to_numpy()
+        starts, keys, rows = [table.column(c).to_numpy() for c in ("start", *repeats.KEY)]
+        texts = table.column("piece").chunk(0).dictionary_encode()
+        del table
+        same, texts = texts.indices.to_numpy(), texts.dictionary
+        sizes = pc.binary_length(texts).to_numpy()
+        # equal pieces of several groups of documents
+        again = (np.bincount(same, minlength=len(texts)) > 1) | (np.bincount(same, known, len(texts)) > 0)
+        at = np.flatnonzero(again[same] & ~known)
+        yield repeats.bucketed(keys[at], rows[at], starts[at], starts[at] + sizes[same[at]], buckets)
+        # a piece that is alone with its anchor repeats nowhere; the others that are still open may in part
+        owner = np.empty(len(texts), np.int64)
+        owner[same] = np.arange(len(same))
+        order = np.argsort(cells[owner], kind="stable")
+        edge = np.append(arrays.runs(cells[owner[order]]), len(order))
+        open_pieces = np.add.reduceat(~again[order], edge[:-1])
+        wanted = np.repeat((np.diff(edge) > 1) & (open_pieces > 0), np.diff(edge))
+        order = order[wanted]
+        total, edge = np.cumsum(sizes[order]), np.append(arrays.runs(cells[owner[order]]), len(order))
         low = 0
         while low < len(order):
-            before = total[low] - sizes[low]
-            full = np.searchsorted(total, before + SHARD_BYTES, "right")
+            full = np.searchsorted(total, total[low] - sizes[order[low]] + SHARD_BYTES, "right")
             high = int(edge[max(np.searchsorted(edge, full, "right") - 1, np.searchsorted(edge, low, "right"))])
-            shard = table.take(pa.array(order[low:high]))
+            shard = order[low:high]
             low = high
-            known = shard.column("known").to_numpy()
-            text, bounds = arrays.flat(shard.column("piece"))
-            again = np.flatnonzero(_repeats(text, bounds, length))
-            owner = np.searchsorted(bounds[1:], again, "right")
-            again, owner = again[~known[owner]], owner[~known[owner]]
-            starts = again - bounds[owner] + shard.column("start").to_numpy()[owner]
-            keys, rows = [shard.column(c).to_numpy()[owner] for c in repeats.KEY]
-            yield repeats.span_batch(keys, rows, starts, starts + length)
+            text, bounds = arrays.flat(texts.take(pa.array(shard)))
+            found = np.flatnonzero(_repeats(text, bounds, length))
+            piece = np.searchsorted(bounds[1:], found, "right")
+            found, piece = found[~again[shard[piece]]], piece[~again[shard[piece]]]
+            at = owner[shard[piece]]
+            begin = starts[at] + found - bounds[piece]
+            yield repeats.bucketed(keys[at], rows[at], begin, begin + length, buckets)
 
     return scan
 
@@ -146,8 +160,9 @@ def repeated_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """Ranges of bytes that go, for documents from `repeats.keyed`."""
     hits = repeats.suspected(base.mapInArrow(_anchors(length, gram), repeats.ANCHORS))
     suspects = base.join(hits, repeats.KEY).select(*base.columns, "cells")
-    pieces = suspects.mapInArrow(_pieces(length, gram), PIECES)
-    return pieces.repartition("cell").mapInArrow(_shards(length), repeats.SPANS)
+    buckets = repeats.partitions(base)
+    pieces = suspects.mapInArrow(_pieces(length, gram, buckets), PIECES)
+    return repeats.by_document(pieces.repartition("cell").mapInArrow(_shards(length, buckets), repeats.BUCKETS))
 
 
 def without_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
