@@ -2,7 +2,7 @@
 
 Terms are kept if their document frequency over all documents lies in a band; the distinct ones are sorted and hashed
 under many randomised lexicon subsets. Subsets come in families: a family's own hash of the terms lets all of the lexicon into its
-first subset, half of that into the next, and so on, so that short and long texts alike have subsets that hold one or a few
+first subset, a quarter of that into the next, and so on, so that short and long texts alike have subsets that hold one or a few
 of their terms. A local change spares the subsets that have no term in it. Two texts agree in a family if any of its subsets
 holds terms of both and the same; the likeness of two fingerprints is the share of families that they agree in.
 
@@ -24,7 +24,8 @@ from logloom.llm.common import columns_of, staged, words
 #: The band: in how many documents at least, and in which share of all documents at most, a term must be.
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.01
 COUNTERS = 1 << 16
-FAMILIES, LEVELS, THINNING = 8, 12, 2
+FAMILIES, LEVELS, THINNING = 8, 7, 4
+FIRST = -(2**63)
 
 
 def _counter(term: Column) -> Column:
@@ -57,7 +58,7 @@ def subset_hashes(terms: Column, families: int = FAMILIES, levels: int = LEVELS)
 
         def step(state, level):
             left = state["left"]
-            tag = F.when(F.size(left) > 0, F.lpad(F.lower(F.hex(F.xxhash64(left).bitwiseAND(0xFFFFFFFF))), 8, "0")).otherwise("")
+            tag = F.when(F.size(left) > 0, F.lpad(F.lower(F.hex(F.xxhash64(left).bitwiseAND(0xFFFFFF))), 6, "0")).otherwise("")
             share = F.pow(F.lit(THINNING), level + 1).cast("long")
             thinner = F.filter(left, lambda t: F.pmod(F.xxhash64(F.lit(seed), t), share) == 0)
             return F.struct(thinner.alias("left"), F.concat(state["made"], F.array(tag)).alias("made"))
@@ -84,50 +85,55 @@ def as_text(tags: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, table: bytes) -> DataFrame:
-    """`doc_id`, `text` and `tags` of every row, under a lexicon."""
+    """`text` and `tags` of every row, under a lexicon, and what names it: `key_id` (doc_id, FIRST for NULL) and `row`."""
     slim = columns_of(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     kept = slim.withColumn("terms", terms_in_band(F.col("text"), table))
-    return kept.select("doc_id", "text", subset_hashes(F.col("terms")).alias("tags"))
+    return kept.select(*_names(), "text", subset_hashes(F.col("terms")).alias("tags"))
+
+
+def _names() -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(FIRST)).alias("key_id"), F.xxhash64(F.lit(1), "text").alias("row")]
 
 
 def followers(keys: DataFrame) -> DataFrame:
-    """Each distinct (`doc_id`, `row`) with its `n_chars` and the next one's `next_id`, `next_row`; the first follows the last.
+    """Each distinct (`key_id`, `row`) with its `n_chars` and the next one's `next_id`, `next_row`; the first follows the last.
 
     The keys are sorted in ranges; only the borders of the ranges are ordered in one task.
     """
-    ranges = keys.distinct().repartitionByRange("doc_id", "row").withColumn("range", F.spark_partition_id())
-    ranges = staged(ranges)
-    borders = ranges.groupBy("range").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    by_range, everywhere = Window.orderBy("range"), Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = staged(keys.distinct().repartitionByRange("key_id", "row").withColumn("range", F.spark_partition_id()))
+    borders = ranges.groupBy("range").agg(F.min(F.struct("key_id", "row")).alias("first"))
+    by_range = Window.orderBy("range")
+    everywhere = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     borders = borders.select("range", F.coalesce(F.lead("first").over(by_range), F.first("first").over(everywhere)).alias("beyond"))
-    inside = Window.partitionBy("range").orderBy("doc_id", "row")
-    led = ranges.withColumn("next", F.lead(F.struct("doc_id", "row")).over(inside)).join(borders, "range")
+    inside = Window.partitionBy("range").orderBy("key_id", "row")
+    led = ranges.withColumn("next", F.lead(F.struct("key_id", "row")).over(inside)).join(borders, "range")
     following = F.coalesce("next", "beyond")
-    return led.select("doc_id", "row", "n_chars", following["doc_id"].alias("next_id"), following["row"].alias("next_row"))
+    return led.select("key_id", "row", "n_chars", following["key_id"].alias("next_id"), following["row"].alias("next_row"))
 
 
 def edited_likeness(docs: DataFrame, least: int = LEAST_DOCUMENTS, most_share: float = MOST_SHARE) -> DataFrame:
     """How each document's fingerprint withstands an edit: its last quarter is replaced by the start of the next document.
 
-    Gives `doc_id`, `n_chars`, `text`, `edited`, `tags`, `edited_tags`, `near_edited`, `near_next`.
+    Gives `doc_id`, `n_chars`, `text`, `edited`, `tags`, `edited_tags`, `near_edited`, `near_next`. Texts are dealt out once, by what names
+    them: a document is sent the start of the next one, and its fingerprint.
+    Both uses of the dealt-out texts read the same columns, so that Spark shuffles and fingerprints them once.
     """
     slim = columns_of(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    row = F.xxhash64(F.lit(1), "text")
-    pairs = staged(followers(slim.select("doc_id", row.alias("row"), F.length("text").cast("long").alias("n_chars"))))
+    pairs = staged(followers(slim.select(*_names(), F.length("text").cast("long").alias("n_chars"))))
     table = lexicon(slim, least, most_share)
-    made = fingerprints(slim, table).withColumn("row", row)
-    nexts = made.select(F.col("doc_id").alias("next_id_of"), F.col("row").alias("next_row_of"), "text", "tags")
-    found = F.col("next_id").eqNullSafe(F.col("next_id_of")) & (F.col("next_row") == F.col("next_row_of"))
+    made = fingerprints(slim, table)
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    heads = pairs.join(nexts, found).select(
-        F.col("doc_id").alias("of_id"), F.col("row").alias("of_row"), "n_chars", quarter.alias("quarter"),
-        F.substring("text", F.lit(1), quarter).alias("head"), F.col("tags").alias("next_tags"),
+    wanted = pairs.select(F.col("key_id").alias("of_id"), F.col("row").alias("of_row"), "n_chars", "next_id", "next_row")
+    nexts = made.join(wanted, (F.col("key_id") == F.col("next_id")) & (F.col("row") == F.col("next_row")))
+    heads = nexts.select(
+        "of_id", "of_row", "n_chars", F.substring("text", F.lit(1), quarter).alias("head"), F.col("tags").alias("next_tags"),
     ).dropDuplicates(["of_id", "of_row"])
-    both = made.join(heads, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")))
-    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int"))
+    both = made.alias("d").join(heads, (F.col("d.key_id") == F.col("of_id")) & (F.col("d.row") == F.col("of_row")))
+    kept = F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int"))
     changed = both.withColumn("edited", F.concat(kept, "head"))
     changed = changed.withColumn("terms", terms_in_band(F.col("edited"), table)).withColumn("edited_tags", subset_hashes(F.col("terms")))
+    doc_id = F.when(F.col("d.key_id") != FIRST, F.col("d.key_id")).alias("doc_id")
     return changed.select(
-        "doc_id", "n_chars", "text", "edited", "tags", "edited_tags",
+        doc_id, "n_chars", "text", "edited", "tags", "edited_tags",
         likeness(F.col("tags"), F.col("edited_tags")).alias("near_edited"), likeness(F.col("tags"), F.col("next_tags")).alias("near_next"),
     )
