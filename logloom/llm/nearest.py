@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import columns_of, staged
@@ -148,8 +148,18 @@ def _best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, uids: np.ndarray, id
     return uids[at[order]], ids[at[order]], exact[order]
 
 
+def _merged(parts: list[tuple], nearest: int) -> tuple:
+    """The nearest of several (uids, ids, scores)."""
+    both = [np.concatenate(columns) for columns in zip(*parts)]
+    order = np.lexsort((both[0], both[1], -both[2]))[:nearest]
+    return tuple(c[order] for c in both)
+
+
 def _search(blocks: DataFrame, asked: DataFrame, nearest: int) -> DataFrame:
-    """`quid`, `uid`, `id`, `score`: candidates for each query in each of the blocks it asks (`quid`, `q`, `leaf`, `block`)."""
+    """`quid`, `rank`, `uid`, `id`, `score`: the nearest for each query in the blocks it asks (`quid`, `q`, `leaf`, `block`).
+
+    A task sends on one row for each query, with the best of all its blocks.
+    """
 
     def gather(key, table):
         quids, q = table.column("quid").to_numpy(), _matrix(table.column("q").combine_chunks())
@@ -161,11 +171,9 @@ def _search(blocks: DataFrame, asked: DataFrame, nearest: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
 
-        def merged():
-            rows = [(quid, *row) for quid, found in best.items() for row in zip(*[c.tolist() for c in found])]
-            columns = zip(*rows) if rows else [()] * 4
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["quid", "uid", "id", "score"])
+        def sent():
+            payload = [b"".join(c.tobytes() for c in found) for found in best.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(payload, pa.binary())], ["quid", "found"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -176,22 +184,33 @@ def _search(blocks: DataFrame, asked: DataFrame, nearest: int) -> DataFrame:
                 scores = q @ x.T
                 for i, quid in enumerate(quids.tolist()):
                     found = _best(scores[i], q[i], x, uids, ids, quid, nearest)
-                    if quid in best:
-                        both = [np.concatenate(pair) for pair in zip(best[quid], found)]
-                        order = np.lexsort((both[0], both[1], -both[2]))[:nearest]
-                        found = tuple(c[order] for c in both)
-                    best[quid] = found
+                    best[quid] = _merged([best[quid], found], nearest) if quid in best else found
                 if len(best) > 20_000:
-                    yield merged()
+                    yield sent()
                     best.clear()
-        yield merged()
+        yield sent()
 
-    return blocks.join(gathered, ["leaf", "block"]).select("uids", "ids", "vectors", "quids", "queries").mapInArrow(scan, "quid long, uid long, id long, score double")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranked(quid, parts):
+            found = _merged(parts, nearest)
+            n = len(found[0])
+            columns = [np.full(n, quid), np.arange(1, n + 1, dtype=np.int32), *found]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["quid", "rank", "uid", "id", "score"])
 
+        now, parts = None, []
+        for batch in batches:
+            for quid, found in zip(batch.column("quid").to_pylist(), batch.column("found").to_pylist()):
+                if quid != now and parts:
+                    yield ranked(now, parts)
+                    parts = []
+                now, n = quid, len(found) // 24
+                parts.append((*np.frombuffer(found, np.int64, 2 * n).reshape(2, n), np.frombuffer(found, np.float64, n, 16 * n)))
+        if parts:
+            yield ranked(now, parts)
 
-def _top(found: DataFrame, nearest: int) -> DataFrame:
-    order = Window.partitionBy("quid").orderBy(F.desc("score"), "id", "uid")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+    asking = blocks.join(gathered, ["leaf", "block"]).select("uids", "ids", "vectors", "quids", "queries")
+    found = asking.mapInArrow(scan, "quid long, found binary").repartition("quid").sortWithinPartitions("quid")
+    return found.mapInArrow(merge, "quid long, rank int, uid long, id long, score double")
 
 
 def nearest_neighbours(
@@ -234,7 +253,7 @@ def nearest_neighbours(
         return asked.withColumn("chunks", F.lit(-(-total // CHUNK_QUERIES)))
 
     few = staged(queries.orderBy(F.xxhash64("uid"), "uid").limit(CALIBRATION_QUERIES))
-    truth = _top(_search(blocks, asking(few, tree.leaves, CALIBRATION_QUERIES), nearest), nearest)
+    truth = _search(blocks, asking(few, tree.leaves, CALIBRATION_QUERIES), nearest)
     places = truth.join(index.select("uid", "leaf"), "uid").join(few.select(F.col("uid").alias("quid"), F.col("v").alias("q")), "quid")
     needed = []
     by_query: dict[int, tuple] = {}
@@ -243,7 +262,7 @@ def nearest_neighbours(
             by_query[row["quid"]] = {leaf: i + 1 for i, leaf in enumerate(tree.visits(np.array(row["q"]), tree.leaves))}
         needed.append(by_query[row["quid"]][row["leaf"]])
     visits = int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if needed else tree.leaves
-    found = _top(_search(blocks, asking(queries, visits, max(n_queries, 1)), nearest), nearest)
+    found = _search(blocks, asking(queries, visits, max(n_queries, 1)), nearest)
     named = queries.select(F.col("uid").alias("quid"), F.col("id").alias("query_id"))
     own = F.when(F.col("id") != LAST, F.col("id")).alias("id")
     return found.join(named, "quid").select("query_id", "rank", own, "score")
