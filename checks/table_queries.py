@@ -23,8 +23,11 @@ UID = "CASE WHEN event_type = 'view' THEN 'n/a' WHEN event_type = 'click' THEN N
 
 
 def events_with_kind(table):
-    kind = F.when(F.col("event_type") == "click", "  ").when(F.col("event_type") != "view", F.col("event_type"))
-    return table("events").select("event_id", kind.alias("kind"))
+    return table("events").select("event_id", kind_of_event().alias("kind"))
+
+
+def kind_of_event():
+    return F.when(F.col("event_type") == "click", "  ").when(F.col("event_type") != "view", F.col("event_type"))
 
 
 def events_with_uid(table):
@@ -122,9 +125,7 @@ SHIFTED = f"SELECT {KIND} AS kind, user_id, CASE WHEN user_id % 7 = 0 THEN NULL
 
 def shifted(table):
     v = F.when(F.col("user_id") % 7 != 0, F.col("value") - 50)
-    return events_with_kind(table).join(
-        table("events").select("event_id", "user_id", v.alias("v")), "event_id"
-    ).select("kind", "user_id", "v")
+    return table("events").select(kind_of_event().alias("kind"), "user_id", v.alias("v"))
 
 
 def shifted_by_kind(table, *aggregates, digits=6):

@@ -85,7 +85,8 @@ def output_columns(column: str, aggregate: str) -> dict[str, str]:
 
 
 def _total(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0))
+    """The sum, 0 of nothing; NULL if it is beyond the type's range."""
+    return F.when(F.count(c) == 0, F.lit(0)).otherwise(F.try_sum(c))
 
 
 def _interval_shares(column: str, aggregate: str) -> list[Column]:
@@ -111,7 +112,7 @@ def _plain(column: str, aggregate: str) -> list[Column]:
 def aggregate(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
     """Group by `keys` (NULL is a group) and compute all measures.
 
-    One partial/final aggregation serves all measures but percentiles, which are counted per column on
+    One partial/final aggregation serves all measures but percentiles, which are counted together on
     their own narrow projection and joined to the groups.
     """
     asked: dict[str, list[str]] = {}
@@ -133,18 +134,20 @@ def aggregate(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFr
             percentiles[column] = chosen
     result = df.groupBy(*groups).agg(*expressions) if expressions else df.select(*groups).distinct()
 
+    grouped = result
     for column in shares:
         total_name = column if "sum" in asked[column] else f"__sum_{column}"
-        # one number, computed as a scalar subquery
-        everything = df.agg(_total(col(column)).alias("__all")).scalar()
+        # one number from the groups, computed as a scalar subquery
+        everything = grouped.agg(_total(col(total_name)).alias("__all")).scalar()
         share = F.round(F.try_divide(col(total_name), everything) * 100, 2)
         result = result.withColumn(column + CATALOGUE["percent"][0], share)
-    for column, chosen in percentiles.items():
-        found = exact_percentiles(df, keys, column, chosen)
+    if percentiles:
+        found = exact_percentiles(df, keys, percentiles)
+        names = [name for chosen in percentiles.values() for name in chosen]
         result = (
             result.alias("l")
             .join(found.alias("r"), same_keys("l", "r", keys), "left")
-            .select("l.*", *[F.col(f"r.`{name}`") for name in chosen])
+            .select("l.*", *[F.col(f"r.`{name}`") for name in names])
         )
     return result.drop(*[f"__sum_{c}" for c in asked])
 

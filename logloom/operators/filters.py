@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, ge, gt, le, lt
@@ -84,8 +85,10 @@ def _compares(c: Column, kind: T.DataType, operation: str, value: Any) -> Column
     compare = _ORDERINGS[operation]
     if isinstance(kind, T.StringType):
         return compare(text.to_number(c), F.lit(bound))
-    if isinstance(kind, T.IntegralType) and abs(bound) < 2**31 and bound == int(bound):
-        return compare(c, F.lit(int(bound)))
+    if isinstance(kind, T.IntegralType) and abs(bound) < 2**53:
+        # a whole number on the same side of all whole numbers
+        whole = {"gt": math.floor, "ge": math.ceil, "lt": math.ceil, "le": math.floor}[operation](bound)
+        return compare(c, F.lit(whole).cast("bigint"))
     if isinstance(kind, T.NumericType):
         holds = compare(c.cast("double"), F.lit(bound))
         # NaN sorts above everything in Spark, but no comparison holds for it here

@@ -9,7 +9,9 @@ import ast
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from logloom.functions import text
 from logloom.functions.columns import col
 
 # Fixed value: digits a computed column is rounded to.
@@ -23,15 +25,15 @@ def _floor_mod(a: Column, b: Column) -> Column:
 
 
 _BINARY = {
-    ast.Add: lambda a, b: a + b,
-    ast.Sub: lambda a, b: a - b,
-    ast.Mult: lambda a, b: a * b,
+    ast.Add: F.try_add,
+    ast.Sub: F.try_subtract,
+    ast.Mult: F.try_multiply,
     ast.Div: lambda a, b: F.try_divide(a.cast("double"), b.cast("double")),
     ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a.cast("double"), b.cast("double"))),
     ast.Mod: _floor_mod,
     ast.Pow: lambda a, b: F.pow(a, b),
 }
-_UNARY = {ast.USub: lambda a: -a, ast.UAdd: lambda a: a}
+_UNARY = {ast.USub: lambda a: F.try_subtract(F.lit(0), a), ast.UAdd: lambda a: a}
 
 
 def _parse(formula: str) -> ast.expr:
@@ -46,10 +48,11 @@ def formula_names(formula: str) -> list[str]:
     return list(dict.fromkeys(n.id for n in ast.walk(_parse(formula)) if isinstance(n, ast.Name)))
 
 
-def formula_column(formula: str, names: list[str] | None = None) -> Column:
-    """The formula as a Column, rounded. Division by zero gives NULL.
+def formula_column(formula: str, names: list[str] | None = None, texts: list[str] | tuple[str, ...] = ()) -> Column:
+    """The formula as a Column, rounded. Division by zero and what is beyond a type's range give NULL.
 
-    With `names`, a formula that uses any other column is an error.
+    With `names`, a formula that uses any other column is an error. Columns in `texts` count as the number that
+    they read as, or NULL.
     """
 
     def build(node: ast.expr) -> Column:
@@ -60,7 +63,7 @@ def formula_column(formula: str, names: list[str] | None = None) -> Column:
         if isinstance(node, ast.Name):
             if names is not None and node.id not in names:
                 raise ValueError(f"formula {formula!r} uses an unknown column {node.id!r}")
-            return col(node.id)
+            return text.to_number(col(node.id)) if node.id in texts else col(node.id)
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(node.value)
         raise ValueError(f"formula {formula!r}: only numbers, columns, + - * / // % ** and brackets")
@@ -72,5 +75,6 @@ def add_formulas(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
     """Add computed columns in one step, so none of them sees another."""
     if not formulas:
         return df
-    made = {name: formula_column(formula, df.columns) for name, formula in formulas.items()}
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    made = {name: formula_column(formula, df.columns, texts) for name, formula in formulas.items()}
     return df.withColumns(made)

@@ -1,9 +1,9 @@
 """Exact percentiles of groups of any size.
 
 The built-in `percentile` keeps every distinct value of a group in one task's memory. Here a group is
-spread over value ranges: counting per range, combined before the shuffle, finds the few ranges that
-hold a wanted rank, and only values in those are counted one by one and put in order. No task ever
-sees more of a group than its distinct values in one range.
+spread over value ranges: values are counted, combined before the shuffle, so that a value is one row however
+often it occurs; the counts give the few ranges that hold a wanted rank, and only values in those are put in
+order. No task ever sees more of a group than its distinct values in one range.
 """
 
 from __future__ import annotations
@@ -48,24 +48,25 @@ def _between(low: Column, high: Column, share: Column) -> Column:
     )
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
     """Per group, exact percentiles with linear interpolation; NULL values do not count.
 
-    `wanted` maps output names to fractions. Groups without any value have no row.
+    `wanted` maps columns to output names and fractions; all columns are counted in one go. Groups without any
+    value have no row, columns without any are NULL.
     """
-    value, count = "__v", "__c"
     groups = [col(k) for k in keys]
-    values = (
-        df.select(*groups, col(column).cast("double").alias(value))
-        .where(F.col(value).isNotNull())
-        .withColumn("__r", value_range(F.col(value)))
+    parts = [*groups, F.col("__i")]
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("v")) for i, c in enumerate(wanted)]))
+    counts = (
+        df.select(*groups, stacked.alias("__s")).select(*groups, F.col("__s.i").alias("__i"), F.col("__s.v").alias("__v"))
+        .where(F.col("__v").isNotNull()).groupBy(*parts, "__v").agg(F.count(F.lit(1)).alias("__c"))
+        .withColumn("__r", value_range(F.col("__v")))
     )
-
-    upto = Window.partitionBy(*groups).orderBy("__r")
+    upto = Window.partitionBy(*parts).orderBy("__r")
     ranges = (
-        values.groupBy(*groups, "__r").agg(F.count(F.lit(1)).alias("__n"))
+        counts.groupBy(*parts, "__r").agg(F.sum("__c").alias("__n"))
         .withColumn("__upto", F.sum("__n").over(upto))
-        .withColumn("__total", F.sum("__n").over(Window.partitionBy(*groups)))
+        .withColumn("__total", F.sum("__n").over(Window.partitionBy(*parts)))
         .withColumn("__before", F.col("__upto") - F.col("__n"))
     )
 
@@ -75,31 +76,28 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
     def holds(r: Column) -> Column:
         return (F.col("__before") <= r) & (r < F.col("__upto"))
 
-    ranks = [f(rank(p)) for p in wanted.values() for f in (F.floor, F.ceil)]
-    chosen = ranges.where(reduce(or_, [holds(r) for r in ranks])).select(*groups, "__r", "__before", "__total")
-
+    picks = [(i, name, p) for i, chosen in enumerate(wanted.values()) for name, p in chosen.items()]
+    hit = reduce(or_, [(F.col("__i") == i) & holds(f(rank(p))) for i, _, p in picks for f in (F.floor, F.ceil)])
+    chosen = ranges.where(hit).select(*parts, "__r", "__before", "__total")
     inside = (
-        values.alias("a")
-        .join(chosen.alias("b"), same_keys("a", "b", keys) & (F.col("a.__r") == F.col("b.__r")))
-        .select(*[F.col(f"a.`{k}`") for k in keys], "a.__r", f"a.{value}", "b.__before", "b.__total")
-    )
-    counts = inside.groupBy(*groups, "__r", value).agg(
-        F.count(F.lit(1)).alias(count), F.max("__before").alias("__before"), F.max("__total").alias("__total")
-    )
-    running = F.sum(count).over(Window.partitionBy(*groups, "__r").orderBy(value))
-    placed = counts.withColumn("__upto", F.col("__before") + running).withColumn(
-        "__before", F.col("__upto") - F.col(count)
+        counts.alias("a")
+        .join(chosen.alias("b"), same_keys("a", "b", [*keys, "__i"]) & (F.col("a.__r") == F.col("b.__r")))
+        .select(*[F.col(f"a.`{k}`") for k in keys], "a.__i", "a.__r", "a.__v", "a.__c", "b.__before", "b.__total")
     )
+    running = F.sum("__c").over(Window.partitionBy(*parts, "__r").orderBy("__v"))
+    placed = inside.withColumn("__upto", F.col("__before") + running).withColumn("__before", F.col("__upto") - F.col("__c"))
+
+    ends = [
+        F.max(F.when((F.col("__i") == i) & holds(f(rank(p))), F.col("__v"))).alias(f"__{side}{n}")
+        for n, (i, _, p) in enumerate(picks) for side, f in (("low", F.floor), ("high", F.ceil))
+    ]
+    totals = [F.max(F.when(F.col("__i") == i, F.col("__total"))).alias(f"__total{i}") for i in range(len(wanted))]
+    found = placed.groupBy(*groups).agg(*totals, *ends)
+
+    def share(i: int, p: float) -> Column:
+        r = (F.col(f"__total{i}") - 1) * F.lit(float(p))
+        return r - F.floor(r)
 
-    picks = []
-    for i, p in enumerate(wanted.values()):
-        for side, f in (("low", F.floor), ("high", F.ceil)):
-            picks.append(F.max(F.when(holds(f(rank(p))), F.col(value))).alias(f"__{side}{i}"))
-    found = placed.groupBy(*groups).agg(F.max("__total").alias("__total"), *picks)
     return found.select(
-        *groups,
-        *[
-            _between(F.col(f"__low{i}"), F.col(f"__high{i}"), rank(p) - F.floor(rank(p))).alias(name)
-            for i, (name, p) in enumerate(wanted.items())
-        ],
+        *groups, *[_between(F.col(f"__low{n}"), F.col(f"__high{n}"), share(i, p)).alias(name) for n, (i, name, p) in enumerate(picks)],
     )

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import atexit
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
@@ -183,7 +181,10 @@ def parse_events(framed: DataFrame, columns: EventColumns, aside: str | None = N
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared `spark.checkpoint.dir`; a local one only in local mode."""
+    """A new folder below the cluster's shared `spark.checkpoint.dir`; a local one only in local mode.
+
+    What is in it goes when the program ends, if it has not been dropped before (see `drop_folder`).
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -191,45 +192,23 @@ def scratch_folder(spark: SparkSession) -> str:
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="logloom-")
-    return f"{shared.rstrip('/')}/logloom-{uuid.uuid4().hex}"
-
-
-# Spark's limit on the bytes of an Arrow batch is checked for every row and column, which costs more
-# than the transfer itself. A text scan's task cannot send more than its split, so it needs no limit.
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_NO_LIMIT = str(2**31 - 1)
-
+    folder = f"{shared.rstrip('/')}/logloom-{uuid.uuid4().hex}"
+    atexit.register(_drop_quietly, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    return folder
 
-# More scan tasks than this would leave too many small files in a staged table.
-MANY_TASKS = 2000
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder in whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def _sized_for_staging(rows: DataFrame) -> DataFrame:
-    """Rows to write as they come from few scan tasks; from many, evened out into files of a good size.
 
-    The rows hold extracted columns of wanted events only, so the shuffle is small beside the scan.
-    """
-    tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()  # the plan is narrow, nothing runs
-    return rows.hint("rebalance") if tasks > MANY_TASKS else rows
-
-
-@contextmanager
-def _unlimited_batches(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_BATCH_BYTES, None)
-    if before is None or not _small_splits(spark):
-        yield
-        return
-    spark.conf.set(_BATCH_BYTES, _NO_LIMIT)
+def _drop_quietly(jvm, configuration, folder: str) -> None:
     try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_BYTES, before)
-
-
-def _small_splits(spark: SparkSession) -> bool:
-    """Whether a split stays far below the 2 GiB an Arrow text column can hold."""
-    size = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower())
-    return bool(size) and int(size[1]) * 1024 ** " kmg".index(size[2] or " ") <= 2**30
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception:  # the JVM went first
+        pass
 
 
 def log_events(
@@ -247,7 +226,8 @@ def log_events(
     Without `stage` the result is a lazy plan that passes over the lines twice, once for events inside
     a split and once for those on split borders, and again for every use of the result. With `stage`,
     a folder, the log is read once: finished rows and the few border fragments are written there as
-    Parquet, and the result reads them back, column by column.
+    Parquet, evened out into files of a good size, and the result reads them back, column by column;
+    the text of border fragments is read only to put those together.
     """
     if stage is None:
         framed = frame_events(lines, event_name, start, end, in_file_order, encoding)
@@ -260,9 +240,10 @@ def log_events(
     marked = fragments.withColumn("__rim", rim)
     once = with_computed(marked, "raw", F.when(F.col("role") == WHOLE, raw), ["file_path", "__rim"])
     rows = parse_events(once, columns, aside="__rim")
-    with _unlimited_batches(spark) if in_file_order else nullcontext():
-        (_sized_for_staging(rows) if in_file_order else rows).write.mode("overwrite").parquet(stage)
-    saved = spark.read.schema(rows.schema).parquet(stage)
-    rims = saved.where(F.col("__rim").isNotNull()).select("__rim.*")
+    # the rows hold extracted columns of wanted events only, so evening them out is cheap beside the scan
+    flagged = rows.withColumn("__crosses", F.col("__rim").isNotNull())
+    flagged.hint("rebalance").write.mode("overwrite").parquet(stage)
+    saved = spark.read.schema(flagged.schema).parquet(stage)
+    rims = saved.where("__crosses").select("__rim.*")
     crossing = parse_events(with_computed(stitch(rims), "raw", raw, ["file_path"]), columns)
-    return saved.where(F.col("__rim").isNull()).drop("__rim").unionByName(crossing)
+    return saved.where("NOT __crosses").drop("__rim", "__crosses").unionByName(crossing)

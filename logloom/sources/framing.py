@@ -189,10 +189,16 @@ def event_fragments(
 
 
 def stitch(rims: DataFrame) -> DataFrame:
-    """Whole events from HEAD and TAIL fragments: at most two short rows per split take part."""
+    """Whole events from HEAD and TAIL fragments.
+
+    Owners are found without any text, from at most two short rows per split; text is fetched for wanted ones only.
+    """
     tail = F.when(F.col("role") == TAIL, F.struct("block", "seq", "wanted"))
+    place = ["id_a", "id_b", "block", "seq"]
     upto = Window.partitionBy("id_a", "id_b").orderBy("block", "seq")
-    owned = rims.withColumn("owner", F.last(tail, ignorenulls=True).over(upto)).where("owner.wanted")
+    slim = rims.select(*place, "role", "wanted")
+    owners = slim.withColumn("owner", F.last(tail, ignorenulls=True).over(upto)).where("owner.wanted").select(*place, "owner")
+    owned = rims.select(*place, "file_path", "lines").join(owners, place)
     piece = F.struct(F.col("block"), F.col("seq"), F.col("lines"))
     event = ["id_a", "id_b", F.col("owner.block").alias("block"), F.col("owner.seq").alias("seq")]
     return (

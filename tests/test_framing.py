@@ -78,18 +78,14 @@ def test_lines_in_any_order(spark, log_tree):
     assert sorted(r.raw for r in frame_events(table, "CALL").collect()) == expected
 
 
-@pytest.mark.parametrize("split, many", [("4000b", 2000), ("4000b", 3)])
-def test_staged_equals_lazy(spark, conf, monkeypatch, log_tree, tmp_path, split, many):
+def test_staged_equals_lazy(spark, conf, log_tree, tmp_path):
     folder, expected = log_tree
-    monkeypatch.setattr("logloom.sources.events.MANY_TASKS", many)
-    conf("spark.sql.files.maxPartitionBytes", split)
+    conf("spark.sql.files.maxPartitionBytes", "4000b")
     conf("spark.sql.files.openCostInBytes", "0")
     lines = read_lines(spark, [str(folder)], ["full"])
     columns = EventColumns(keys=["Id", "Context", "timestamp", "filename"])
     lazy = log_events(lines, columns, "CALL", in_file_order=True)
-    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     staged = log_events(lines, columns, "CALL", in_file_order=True, stage=str(tmp_path / "stage"))
-    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit
     assert lazy.count() == len(expected)
     assert sorted(map(str, lazy.collect())) == sorted(map(str, staged.collect()))
 
@@ -140,3 +136,27 @@ def test_text_is_not_shuffled(spark, log_tree):
     plan = event_fragments(read_lines(spark, [str(folder)], ["full"]), "CALL", in_file_order=True)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text and "Exchange" not in text
+
+
+def test_owners_are_found_without_text(spark, log_tree, tmp_path, conf):
+    folder, _ = log_tree
+    conf("spark.sql.files.maxPartitionBytes", "4000b")
+    conf("spark.sql.files.openCostInBytes", "0")
+    columns = EventColumns(keys=["Id", "Context"])
+    stage = str(tmp_path / "stage")
+    events = log_events(read_lines(spark, [str(folder)], ["full"]), columns, "CALL", in_file_order=True, stage=stage)
+    plan = events.select("Id")._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window ["):]
+    below = window[: window.index("FileScan") + 600]
+    assert "lines" not in below[below.index("ReadSchema"):].split("\n")[0]
+    branch = spark.read.parquet(stage).where("NOT __crosses").select("Id")
+    assert "__rim" not in branch._jdf.queryExecution().executedPlan().toString()
+
+
+def test_file_without_any_start(spark, conf, tmp_path):
+    """Many splits that nobody owns: nothing comes out, whatever they hold."""
+    folder = tmp_path / "full" / "p"
+    folder.mkdir(parents=True)
+    (folder / "24010100.log").write_text("just text\n" * 5000)
+    conf("spark.sql.files.maxPartitionBytes", "4000b")
+    assert frame_events(read_lines(spark, [str(tmp_path)], ["full"]), "CALL", in_file_order=True).count() == 0

@@ -90,7 +90,7 @@ def test_percentiles_match_numpy(spark):
     }
     rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("documented", None), ("nothing", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"lo": 0.0, "m": 0.5, "p": 0.95, "hi": 1.0}).collect()}
+    got = {r.k: r for r in exact_percentiles(df, ["k"], {"v": {"lo": 0.0, "m": 0.5, "p": 0.95, "hi": 1.0}}).collect()}
     assert set(got) == set(groups)
     for key, values in groups.items():
         for name, q in (("lo", 0), ("m", 50), ("p", 95), ("hi", 100)):
@@ -196,3 +196,33 @@ def test_sort_puts_null_first(spark):
     assert order(("s", False), ("n", True)) == [3, 1, 4, 2]
     assert order(("s", True), ("n", False)) == [3, 2, 4, 1]
     assert order(("s", False), ("n", False), by_number=("s",)) == [3, 2, 4, 1]
+
+
+def test_percentiles_of_a_dominant_value_and_of_several_columns(spark):
+    df = spark.range(20_000).selectExpr("1 AS k", "IF(id % 100 = 0, id, 0) AS a", "id AS b", "CAST(NULL AS BIGINT) AS c")
+    made = aggregate(df, ["k"], [Measure("a", ("median", "p95")), Measure("b", ("p95",)), Measure("c", ("median",))])
+    row = made.first()
+    assert (row.a_median, row.a_p95, row.b_p95, row.c_median) == (0, 0, 18999.05, None)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") + plan.count("Scan") <= 4  # the groups, and one count of all columns, used twice
+
+
+def test_nothing_overflows(spark):
+    big = 2**62
+    df = spark.createDataFrame([(1, big, big, "7"), (1, big, 3, "x"), (2, 5, 2, None)], "k int, a long, b long, t string")
+    made = add_formulas(df, {"m": "a * b", "p": "a + a + a", "s": "-a - a - a", "q": "b / t", "r": "t + 1"}).orderBy("k", "b")
+    rows = [(r.m, r.p, r.s, r.q, r.r) for r in made.collect()]
+    assert rows == [(None, None, None, None, None), (None, None, None, round(big / 7, 3), 8), (10, 15, -15, None, None)]
+    sums = {r.k: r.a for r in aggregate(df, ["k"], [Measure("a", ("sum",))]).collect()}
+    assert sums == {1: None, 2: 5}
+
+
+@pytest.mark.parametrize("operation, value, bound", [("ge", 3 * 2**30, 3 * 2**30), ("gt", 3.5, 3), ("ge", 3.5, 4), ("lt", 3.5, 4), ("le", "3.5", 3)])
+def test_whole_bounds_reach_the_scan(spark, tmp_path, operation, value, bound):
+    spark.range(6).withColumn("big", F.col("id") + 3 * 2**30 - 3).write.parquet(str(tmp_path / "t"))
+    column = "big" if bound > 10 else "id"
+    table = spark.read.parquet(str(tmp_path / "t"))
+    kept = keep_rows(table, load_filters([{"key": column, "operation": operation, "value": value}]))
+    sign = {"ge": "GreaterThanOrEqual", "gt": "GreaterThan", "lt": "LessThan", "le": "LessThanOrEqual"}[operation]
+    assert f"{sign}({column},{bound})" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 3 if column == "big" else kept.count() in (2, 4)
