@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from conftest_llm import plain
@@ -44,3 +46,33 @@ def test_edits_stay_near_and_others_far(spark):
     long = [r for r in rows if r["n_chars"] >= 200]
     assert sum(r["near_edited"] > r["near_next"] for r in long) > 0.95 * len(long)
     assert sum(r["near_edited"] for r in long) > 0.35 * len(long) and sum(r["near_next"] for r in long) < 0.05 * len(long)
+
+
+def test_band_holds_for_terms_by_exact_frequency(spark):
+    # some 60,000 terms of one document each, so that nearly every counter of a fixed table would be met twice
+    rows = [(i, " ".join([*(f"only{i}x{j}" for j in range(200)), f"pair{i // 2}", "every"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = fingerprints.lexicon(docs)
+    assert known.common == ["every"]
+    assert {r["term"] for r in known.inside.collect()} == {f"pair{i}" for i in range(150)}
+    assert known.below.count() == 300 * 200
+    made = {r["doc_id"]: r["tags"] for r in fingerprints.edited_likeness(docs).collect()}
+    # the only term in the band is the pair's
+    assert all(made[i] == made[i + 1] for i in range(0, 300, 2)) and len({str(t) for t in made.values()}) == 150
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_edited_texts_are_judged_by_the_same_lexicon(spark, least):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcd") * rnd.randint(1, 3) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    counts = Counter(w for t in texts for w in set(t.split()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def terms(text):
+        found = set(text.split())
+        return sorted({w for w in found if least <= counts[w] <= 0.05 * len(texts)} or found)
+
+    rows = fingerprints.edited_likeness(docs, least, 0.05).collect()
+    want = spark.createDataFrame([(r["doc_id"], terms(r["text"]), terms(r["edited"])) for r in rows], "doc_id long, a array<string>, b array<string>")
+    want = want.select("doc_id", fingerprints.subset_hashes(F.col("a")).alias("a"), fingerprints.subset_hashes(F.col("b")).alias("b"))
+    assert plain(want, "doc_id", "a", "b") == sorted(((r["doc_id"], r["tags"], r["edited_tags"]) for r in rows), key=repr)
