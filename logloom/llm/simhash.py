@@ -109,15 +109,15 @@ def simhashes(texts: pa.Array, shingle: int = WORDS) -> np.ndarray:
     return made
 
 
-def fingerprints(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """`doc_id` and `fingerprint` (a long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = WORDS, names: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`doc_id` (or the columns `names`, all long) and `fingerprint` (a long) of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.groups(batches, "text"):
             found = simhashes(part.column("text"), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found)], [*names, "fingerprint"])
 
-    return columns_of(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, fingerprint long")
+    return columns_of(docs, *names, "text").mapInArrow(scan, ", ".join(f"{c} long" for c in (*names, "fingerprint")))
 
 
 def _choices(cuts: int, kept: int) -> list[list[int]]:
@@ -175,6 +175,17 @@ def near_links(prints: DataFrame, bits: int = BITS, cuts: int | None = None, kep
     return one.join(two, ["at", "sign"]).where(near).select("u", "v")
 
 
+def _groups(prints: DataFrame, bits: int, cuts: int | None, kept: int) -> DataFrame:
+    """`known`, `root` and `component_id` of each distinct fingerprint of `prints` (doc_id, fingerprint)."""
+    nodes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    stars = components(near_links(nodes, bits, cuts, kept))
+    rooted = nodes.join(stars, nodes.fingerprint == stars.node, "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"),
+    )
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return staged(rooted.join(least, "root").select(F.col("fingerprint").alias("known"), "root", "component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = WORDS, bits: int = BITS, cuts: int | None = None, kept: int = 1,
 ) -> DataFrame:
@@ -185,23 +196,29 @@ def near_duplicates(
     doc_id is never the least unless all are; repeated rows keep their own result rows.
     """
     found = staged(fingerprints(docs, shingle))
-    nodes = staged(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    stars = components(near_links(nodes, bits, cuts, kept))
-    rooted = nodes.join(stars, nodes.fingerprint == stars.node, "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"),
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(rooted.join(least, "root").select(F.col("fingerprint").alias("known"), "root", "component_id"))
+    named = _groups(found, bits, cuts, kept)
     return found.join(named, F.col("fingerprint") == F.col("known")).select("doc_id", "fingerprint", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id, whole and once.
+def one_of_each(
+    docs: DataFrame, shingle: int = WORDS, bits: int = BITS, cuts: int | None = None, kept: int = 1,
+) -> DataFrame:
+    """One document of each group of near-duplicates, whole and once: the one with the least doc_id (NULL comes last).
 
+    Of several rows with that id in a group it is the least by `row_1`, `row_2`, a hash of 128 bits of all columns, so the result
+    does not depend on the order of tasks. Rows are found again by id and hash: equal doc_ids (or NULLs) in different groups are apart.
     Gives doc_id, text, lang, source and n_chars.
     """
-    slim = columns_of(docs, "doc_id", "text", "lang", "source", "n_chars")
-    groups = near_duplicates(slim, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = groups.select(F.col("doc_id").alias("chosen"), "root").dropDuplicates(["root"])
-    rows = slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen"))).dropDuplicates(["root"])
-    return rows.select("doc_id", "text", "lang", "source", "n_chars")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    slim = columns_of(docs, *columns)
+    # NULLs are skipped by xxhash64, so that they are told by a column of their own
+    told = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns])
+    hashed = slim.select(*columns, *[F.xxhash64(F.lit(seed), told, *columns).alias(f"row_{seed}") for seed in (1, 2)])
+    found = staged(fingerprints(hashed, shingle, ("doc_id", "row_1", "row_2")))
+    named = _groups(found, bits, cuts, kept)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_1", "row_2")
+    least = found.join(named, F.col("fingerprint") == F.col("known")).groupBy("root").agg(F.min(row).alias("least"))
+    chosen = least.select(F.col("least.doc_id").alias("chosen"), F.col("least.row_1").alias("chosen_1"), F.col("least.row_2").alias("chosen_2"))
+    same = F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("row_1") == F.col("chosen_1")) & (F.col("row_2") == F.col("chosen_2"))
+    # rows that are repeated whole have the same name
+    return hashed.join(chosen, same).dropDuplicates(["doc_id", "row_1", "row_2"]).select(*columns)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest_llm import WORD, plain
+from pyspark.sql import functions as F
 
 from logloom.llm import attribution, line_dedup, simhash, suffix_dedup, window_dedup
 from logloom.llm.suffix_array import permuted_common_prefixes, suffix_array
@@ -55,6 +56,22 @@ def test_simhash(docs):
     assert len(kept) == len({find(f) for _, f in rows})
 
 
+def test_one_of_each_takes_a_text_of_every_group(spark):
+    rnd = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in rnd.integers(0, 10**6, 60)) for _ in range(12)]
+    ids = [6, 6, None, None, None, 6, 1, 2, None, 6, 7, None]
+    rows = [(i, t, "en", "a", n) for n, (i, t) in enumerate(zip(ids, texts))]
+    rows += [rows[0], rows[2], (9, texts[1], "en", "b", 3), (6, texts[1], "en", "b", 4), (None, texts[6], None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    roots = {r["fingerprint"] for r in simhash.near_duplicates(docs).select("fingerprint").collect()}
+    assert len(roots) == len(texts)
+    made = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(r[1] for r in made) == sorted(texts) and set(made) <= set(rows)
+    assert [r[0] for t in texts for r in made if r[1] == t] == ids
+    again = [tuple(r) for r in simhash.one_of_each(docs.orderBy(F.desc("n_chars")).repartition(7)).collect()]
+    assert sorted(again, key=repr) == sorted(made, key=repr)
+
+
 def test_more_segments_give_the_same_links(spark):
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 1 << 63, 40)
