@@ -2,7 +2,7 @@
 
 Terms are kept if their document frequency over all documents lies in a band; the distinct ones are sorted and hashed
 under many randomised lexicon subsets. Subsets come in families: a family's own hash of the terms lets all of the lexicon into its
-first subset, a quarter of that into the next, and so on, so that short and long texts alike have subsets that hold one or a few
+first subset, a quarter of that into the next, and so on until none of a text's terms is left, so that short and long texts alike have subsets that hold one or a few
 of their terms. A local change spares the subsets that have no term in it. Two texts agree in a family if any of its subsets
 holds terms of both and the same; the likeness of two fingerprints is the share of families that they agree in.
 
@@ -27,7 +27,9 @@ from logloom.llm.common import columns_of, staged, words
 
 #: The band: in how many documents at least, and in which share of all documents at most, a term must be.
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.01
-FAMILIES, LEVELS, THINNING = 8, 7, 4
+FAMILIES, THINNING = 8, 4
+# four to this power is all that a hash of 64 bits can tell apart
+MOST_LEVELS = 31
 FIRST = -(2**63)
 # the word, or part of one, that a text ends in
 TAIL = r"[^\x20\x09-\x0D]*\z"
@@ -69,20 +71,21 @@ def terms_in_band(text: Column, common: list[str] | None, outside: Column) -> Co
     return F.array_sort(F.when(F.size(inside) > 0, inside).otherwise(terms))
 
 
-def subset_hashes(terms: Column, families: int = FAMILIES, levels: int = LEVELS) -> Column:
-    """By family, the hash of the terms in each subset, as text; empty where a subset has none of them."""
+def subset_hashes(terms: Column, families: int = FAMILIES) -> Column:
+    """By family, the hash of the terms in each subset, as text, down to the last subset that has any of them."""
 
     def family(seed: int) -> Column:
         start = F.struct(terms.alias("left"), F.array().cast("array<string>").alias("made"))
 
         def step(state, level):
             left = state["left"]
-            tag = F.when(F.size(left) > 0, F.lpad(F.lower(F.hex(F.xxhash64(left).bitwiseAND(0xFFFFFF))), 6, "0")).otherwise("")
+            tag = F.lpad(F.lower(F.hex(F.xxhash64(left).bitwiseAND(0xFFFFFF))), 6, "0")
             share = F.pow(F.lit(THINNING), level + 1).cast("long")
             thinner = F.filter(left, lambda t: F.pmod(F.xxhash64(F.lit(seed), t), share) == 0)
-            return F.struct(thinner.alias("left"), F.concat(state["made"], F.array(tag)).alias("made"))
+            more = F.struct(thinner.alias("left"), F.concat(state["made"], F.array(tag)).alias("made"))
+            return F.when(F.size(left) > 0, more).otherwise(state)
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda state: state["made"])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(MOST_LEVELS - 1)), start, step, lambda state: state["made"])
 
     return F.array(*[family(seed) for seed in range(families)])
 
@@ -91,10 +94,10 @@ def likeness(a: Column, b: Column) -> Column:
     """The share of families in which two texts agree; 1 if neither has any terms."""
 
     def agree(p: Column) -> Column:
-        return F.exists(F.arrays_zip(p["a"].alias("x"), p["b"].alias("y")), lambda z: (z["x"] == z["y"]) & (z["x"] != ""))
+        return F.exists(F.arrays_zip(p["a"].alias("x"), p["b"].alias("y")), lambda z: z["x"] == z["y"])
 
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    blank = (F.array_max(F.flatten(a)) == "") & (F.array_max(F.flatten(b)) == "")
+    blank = (F.size(F.flatten(a)) == 0) & (F.size(F.flatten(b)) == 0)
     return F.when(blank, 1.0).otherwise(F.size(F.filter(pairs, agree)) / F.size(pairs))
 
 

@@ -76,3 +76,11 @@ def test_edited_texts_are_judged_by_the_same_lexicon(spark, least):
     want = spark.createDataFrame([(r["doc_id"], terms(r["text"]), terms(r["edited"])) for r in rows], "doc_id long, a array<string>, b array<string>")
     want = want.select("doc_id", fingerprints.subset_hashes(F.col("a")).alias("a"), fingerprints.subset_hashes(F.col("b")).alias("b"))
     assert plain(want, "doc_id", "a", "b") == sorted(((r["doc_id"], r["tags"], r["edited_tags"]) for r in rows), key=repr)
+
+
+def test_long_texts_have_a_subset_of_few_terms(spark):
+    # 200,000 terms: at a fixed 1/4096 some 49 would be left in the thinnest subset
+    terms = spark.createDataFrame([([f"t{i}" for i in range(200_000)],), ([],)], "terms array<string>")
+    terms = terms.select(F.array_sort("terms").alias("terms"))
+    long, none = [r["tags"] for r in terms.select(fingerprints.subset_hashes(F.col("terms")).alias("tags")).collect()]
+    assert all(8 <= len(family) <= 16 and "" not in family for family in long) and none == [[]] * fingerprints.FAMILIES
