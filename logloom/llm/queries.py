@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import attribution, fingerprints, line_dedup, mixing, nearest, packing, quality, simhash, suffix_dedup, window_dedup
+from logloom.llm import attribution, fingerprints, line_dedup, merkle, mixing, nearest, packing, quality, simhash, suffix_dedup, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,56 @@ def _nearest_neighbours(table) -> DataFrame:
 def _section_tokens(table) -> DataFrame:
     """How many tokens each line of each document has, of one encoding of the whole text."""
     return attribution.section_tokens(table("documents"))
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, concat(
+      coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+      coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS other
+  FROM d),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM l GROUP BY source),
+k AS (SELECT l.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source),
+n AS (
+  SELECT tree, 0 AS level, rank, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM k
+  UNION ALL
+  SELECT tree, level + 1, rank // 3, sha256(string_agg(digest, '' ORDER BY rank)), any_value((size + 2) // 3) FROM n WHERE size > 1 GROUP BY tree, level, rank // 3),
+m AS (
+  SELECT 0 AS level, tree AS rank, digest, (SELECT count(*) FROM s) AS size FROM n WHERE size = 1
+  UNION ALL
+  SELECT level + 1, rank // 3, sha256(string_agg(digest, '' ORDER BY rank)), any_value((size + 2) // 3) FROM m WHERE size > 1 GROUP BY level, rank // 3),
+a AS (SELECT tree, level, rank, digest, max(level) OVER (PARTITION BY tree) AS height FROM n UNION ALL SELECT -1, level, rank, digest, max(level) OVER () FROM m),
+g AS (SELECT tree, level, rank // 3 AS run, string_agg(digest, '' ORDER BY rank) AS digests FROM a WHERE level < height GROUP BY tree, level, rank // 3),
+p AS (
+  SELECT k.tree, k.rank, g.level, digests, rank // (3 ** level)::BIGINT % 3 AS place FROM k JOIN g ON g.tree = k.tree AND g.run = rank // (3 ** (level + 1))::BIGINT
+  UNION ALL
+  SELECT k.tree, k.rank, 100 + g.level, digests, k.tree // (3 ** level)::BIGINT % 3 FROM k JOIN g ON g.tree = -1 AND g.run = k.tree // (3 ** (level + 1))::BIGINT),
+q AS (
+  SELECT tree, rank, sha256(coalesce(string_agg(left(digests, 64 * place) || substr(digests, 64 * place + 65), '' ORDER BY level), '')) AS proof,
+    list((left(digests, 64 * place), substr(digests, 64 * place + 65)) ORDER BY level) AS steps
+  FROM p GROUP BY tree, rank),
+f AS (
+  SELECT k.tree, k.rank, coalesce(other, leaf) AS node, steps, 1 AS step FROM k LEFT JOIN q ON k.tree = q.tree AND k.rank = q.rank
+  UNION ALL
+  SELECT tree, rank, sha256(steps[step][1] || node || steps[step][2]), steps, step + 1 FROM f WHERE step <= len(steps)),
+r AS (SELECT tree, rank, node FROM f WHERE step = coalesce(len(steps), 0) + 1)
+SELECT doc_id, leaf, sub.digest AS subroot, top.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, node AS folded_root, node = top.digest AS verified
+FROM k JOIN r ON k.tree = r.tree AND k.rank = r.rank LEFT JOIN q ON k.tree = q.tree AND k.rank = q.rank
+  JOIN n AS sub ON sub.tree = k.tree AND sub.size = 1 JOIN m AS top ON top.size = 1"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def _merkle_manifest(table) -> DataFrame:
+    """Every document's proof by the manifest of all, held against a copy in which line ends of half the documents are lost."""
+    less = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    lost = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.col("text").contains("\n")
+    changed = F.when(lost, merkle.leaf_digest(*[less if f == "text" else F.col(f) for f in merkle.FIELDS]))
+    found = merkle.verified(table("documents"), changed)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
