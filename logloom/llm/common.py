@@ -53,6 +53,13 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*chosen)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join on columns of the same names, in which NULL equals NULL."""
+    renamed = right.withColumnsRenamed({n: f"its {n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"its {n}")) for n in names]
+    return left.join(renamed, same).drop(*[f"its {n}" for n in names])
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for NULL."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS, -1), lambda w: w != "")

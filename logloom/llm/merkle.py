@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import columns_of, staged
+from logloom.llm.common import columns_of, null_safe_join, staged
 
 #: Children of a node; levels of a segment, which has so many leaves that a task can hold them.
 FAN, LEVELS = 3, 5
@@ -79,14 +79,8 @@ def ranked(rows: DataFrame, group: list[str], keys: list[str], groups: DataFrame
     parts = placed.groupBy("part", *group).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     parts = parts.withColumn("shift", F.col("first") - F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "shift", *group)
     if groups is not None:
-        parts = _null_safe_join(parts, groups, group)
-    return _null_safe_join(placed, staged(parts), ["part", *group]).withColumn("rank", F.col("at") - F.col("shift")).drop("at", "part", "shift")
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    renamed = right.withColumnsRenamed({n: f"its {n}" for n in names})
-    same = [F.col(n).eqNullSafe(F.col(f"its {n}")) for n in names]
-    return left.join(renamed, same).drop(*[f"its {n}" for n in names])
+        parts = null_safe_join(parts, groups, group)
+    return null_safe_join(placed, staged(parts), ["part", *group]).withColumn("rank", F.col("at") - F.col("shift")).drop("at", "part", "shift")
 
 
 def _grown(nodes: DataFrame, height: int) -> list[DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import attribution, fingerprints, line_dedup, merkle, mixing, nearest, packing, quality, simhash, suffix_dedup, window_dedup
+from logloom.llm import attribution, codebooks, fingerprints, line_dedup, merkle, mixing, nearest, packing, quality, rules, simhash, suffix_dedup, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,41 @@ def _merkle_manifest(table) -> DataFrame:
     changed = F.when(lost, merkle.leaf_digest(*[less if f == "text" else F.col(f) for f in merkle.FIELDS]))
     found = merkle.verified(table("documents"), changed)
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _codebooks_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """The rounds of k-means one after another, everything compared with everything."""
+    nearest = "SELECT id, part, min((xx + c.yy - 2 * list_inner_product(x, c.y), entry)) AS m FROM p JOIN {0} c USING (part) GROUP BY id, part"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS ({nearest.format(f'c{i}')})")
+        steps.append(f"""c{i + 1} AS (
+  SELECT part, entry, coalesce(z, y) AS y, list_inner_product(coalesce(z, y), coalesce(z, y)) AS yy FROM c{i} LEFT JOIN (
+    SELECT part, entry, list(floor(s / n) ORDER BY i) AS z FROM (
+      SELECT part, m[2] AS entry, i, sum(x[i]) AS s, count(*) AS n FROM a{i} JOIN p USING (id, part), range(1, 1 + (SELECT max(len(x)) FROM p)) t(i)
+      GROUP BY part, m[2], i) GROUP BY part, entry) USING (part, entry))""")
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {codebooks.SCALE})) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT id, part, x, list_inner_product(x, x) AS xx FROM (
+  SELECT id, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM e, range(4) t(part))),
+c0 AS (SELECT part, id AS entry, x AS y, xx AS yy FROM p WHERE id < {codebooks.ENTRIES}),
+{", ".join(steps)},
+f AS ({nearest.format(f"c{rounds}")}),
+g AS (SELECT id, string_agg(printf('%02x', m[2]), '' ORDER BY part) AS code, sum(m[1])::BIGINT AS error FROM f GROUP BY id),
+b AS (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda q: q::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN g USING (id), b"""
+
+
+@query("op12_vector_codes", _codebooks_sql())
+def _vector_codes(table) -> DataFrame:
+    """Every vector's code and error, with its label's error and the digest of the codebooks."""
+    found, books = codebooks.compress(table("embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codebooks.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_quality_rules")
+def _quality_rules(table) -> DataFrame:
+    """What the rules count of each document, and whether it is kept."""
+    return rules.judge(table("documents"), table("labels"))
