@@ -7,6 +7,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from logloom.functions import mixed
+from logloom.operators.filters import Filter, all_of
+from logloom.plans.report import report_lines
 from logloom.rendered import render, rendered_files
 from logloom.sources.events import EventColumns, log_events, scratch_folder
 from logloom.sources.files import file_inventory, select_log_files
@@ -168,6 +171,60 @@ def _(table):
     return event_rows(table, "CLICK", ["EventId", "Memory", "Usr"], types=types)
 
 
+# one key with whole numbers, other numbers and text, as log text and as what its values are
+DETAIL = F.expr("""concat(',Detail=', CASE event_id % 4 WHEN 0 THEN concat(event_id, '.0') WHEN 1 THEN concat('0', event_id)
+    WHEN 2 THEN concat(event_id % 50, '.25') ELSE concat('none ', event_id % 9) END)""")
+DETAIL_SQL = """SELECT event_id, CASE event_id % 4 WHEN 2 THEN (event_id % 50) + 0.25::DOUBLE WHEN 3 THEN NULL ELSE event_id::DOUBLE END AS num,
+    CASE event_id % 4 WHEN 2 THEN (event_id % 50) || '.25' WHEN 3 THEN 'none ' || (event_id % 9) ELSE event_id::VARCHAR END AS shown,
+    CASE event_id % 4 WHEN 2 THEN 'DOUBLE' WHEN 3 THEN 'STRING' ELSE 'BIGINT' END AS kind FROM events"""
+
+
+def mixed_lines(table):
+    return render(table("events"), extra=DETAIL)
+
+
+@query("evt_mixed_values", f"""SELECT event_id AS "EventId", kind, shown, num FROM ({DETAIL_SQL})""")
+def _(table):
+    """One property that holds numbers and text: every value is kept and knows its kind."""
+    columns = EventColumns(keys=["EventId", "Detail"], types={"EventId": "bigint", "Detail": "mixed"})
+    events, value = log_events(mixed_lines(table), columns), F.col("Detail")
+    return events.select("EventId", F.schema_of_variant(value).alias("kind"), mixed.shown(value).alias("shown"), mixed.number(value).alias("num"))
+
+
+@query("flt_mixed", f"""SELECT event_id AS "EventId", shown AS "Detail" FROM ({DETAIL_SQL})
+    WHERE num >= 7.5 AND num < 4000 OR shown = 'none 3' OR contains(shown, 'e 7')""")
+def _(table):
+    """Filters on values of mixed kind that are kept as Parquet: numbers by order, text by equality and content."""
+    lines = mixed_lines(table)
+    columns = EventColumns(keys=["EventId", "Detail"], types={"EventId": "bigint", "Detail": "mixed"})
+    events = log_events(lines, columns, stage=scratch_folder(lines.sparkSession))
+    chosen = [[("ge", 7.5), ("lt", 4000)], [("eq", "none 3")], [("contains", "e 7")]]
+    kept = [all_of([Filter("Detail", operation, value) for operation, value in both], events.schema) for both in chosen]
+    return events.where(kept[0] | kept[1] | kept[2]).select("EventId", mixed.shown(F.col("Detail")).alias("Detail"))
+
+
+@query("rep_mixed_listing", f"""SELECT event_id AS "Event", shown AS "Value", round(num * 2 + 1, 3) AS "Twice" FROM ({DETAIL_SQL})""")
+def _(table):
+    """A listing that calculates with a property and still shows its texts."""
+    keys = [
+        {"name": "EventId", "alias": "Event", "type": "bigint"}, {"name": "Detail", "alias": "Value"},
+        {"name": "twice", "alias": "Twice", "formula": "Detail * 2 + 1"},
+    ]
+    made = report_lines(mixed_lines(table), {"keys_result": keys, "keys_sort": "Detail desc"})
+    return made.withColumn("Value", mixed.shown(F.col("Value")))
+
+
+@query("agg_mixed_groups", f"""SELECT CASE WHEN kind = 'STRING' THEN shown ELSE CAST(CAST(num AS BIGINT) % 10 AS VARCHAR) END AS "Detail",
+    CAST(count(*) AS BIGINT) AS "count", max(event_id) AS "EventId_max" FROM ({DETAIL_SQL}) WHERE kind <> 'DOUBLE' GROUP BY 1""")
+def _(table):
+    """Groups by a property of mixed kind: `7`, `7.0` and `07` are one group."""
+    digit = F.expr("""concat(',Detail=', CASE event_id % 4 WHEN 0 THEN concat(event_id % 10, '.0') WHEN 1 THEN concat('0', event_id % 10) ELSE concat('none ', event_id % 9) END)""")
+    lines = render(table("events").where("event_id % 4 <> 2"), extra=digit)
+    keys = [{"name": "Detail", "type": "mixed"}, {"name": "count", "aggregation": ["sum"]}, {"name": "EventId", "aggregation": ["max"], "type": "bigint"}]
+    made = report_lines(lines, {"keys_result": keys, "keys_aggregate": "Detail"})
+    return made.toDF("Detail", "count", "EventId_max")
+
+
 @query("evt_last_context", f"""
     SELECT CAST(event_id AS VARCHAR) AS "EventId", lastcontext FROM ({EV}) WHERE "Name" = 'VIEW'""")
 def _(table):

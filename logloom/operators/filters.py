@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions import regex, text
+from logloom.functions import mixed, regex, text
 from logloom.functions.columns import col
 
 _ORDERINGS = {"gt": gt, "ge": ge, "lt": lt, "le": le}
@@ -66,6 +66,10 @@ def _equals(c: Column, kind: T.DataType, value: Any) -> Column | None:
         return c == F.lit(int(value) if isinstance(value, bool) else value)
     if isinstance(kind, T.BooleanType) and isinstance(value, bool):
         return c == F.lit(value)
+    if isinstance(kind, T.VariantType) and isinstance(value, str):
+        return F.coalesce(mixed.plain_text(c) == F.lit(value), F.lit(False))
+    if isinstance(kind, T.VariantType) and _is_number(value):
+        return F.coalesce(mixed.number(c) == F.lit(float(value)), F.lit(False))
     return None
 
 
@@ -85,6 +89,9 @@ def _compares(c: Column, kind: T.DataType, operation: str, value: Any) -> Column
     compare = _ORDERINGS[operation]
     if isinstance(kind, T.StringType):
         return compare(text.to_number(c), F.lit(bound))
+    if isinstance(kind, T.VariantType):
+        value = mixed.as_double(c)
+        return compare(value, F.lit(bound)) & ~mixed.is_text(c) & ~F.isnan(value)
     if isinstance(kind, T.IntegralType) and abs(bound) < 2**53:
         # a whole number on the same side of all whole numbers
         whole = {"gt": math.floor, "ge": math.ceil, "lt": math.ceil, "le": math.floor}[operation](bound)
@@ -105,6 +112,10 @@ def predicate(f: Filter, schema: T.StructType, loose: bool = False) -> Column:
     if f.key not in schema.names:
         return F.lit(f.operation == "empty")
     c, kind = col(f.key), schema[f.key].dataType
+    if isinstance(kind, T.VariantType) and f.operation in ("contains", "regex"):
+        c, kind = mixed.plain_text(c), T.StringType()
+    elif isinstance(kind, T.VariantType) and f.operation in ("filled", "empty"):
+        c, kind = mixed.shown(c), T.StringType()
     is_text = isinstance(kind, T.StringType)
 
     if f.operation == "filled":

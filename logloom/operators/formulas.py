@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions import text
+from logloom.functions import mixed, text
 from logloom.functions.columns import col
 
 # Fixed value: digits a computed column is rounded to.
@@ -48,11 +48,13 @@ def formula_names(formula: str) -> list[str]:
     return list(dict.fromkeys(n.id for n in ast.walk(_parse(formula)) if isinstance(n, ast.Name)))
 
 
-def formula_column(formula: str, names: list[str] | None = None, texts: list[str] | tuple[str, ...] = ()) -> Column:
+def formula_column(
+    formula: str, names: list[str] | None = None, texts: list[str] | tuple[str, ...] = (), variants: list[str] | tuple[str, ...] = (),
+) -> Column:
     """The formula as a Column, rounded. Division by zero and what is beyond a type's range give NULL.
 
     With `names`, a formula that uses any other column is an error. Columns in `texts` count as the number that
-    they read as, or NULL.
+    they read as, or NULL, those in `variants` as the number they hold, or NULL.
     """
 
     def build(node: ast.expr) -> Column:
@@ -63,6 +65,8 @@ def formula_column(formula: str, names: list[str] | None = None, texts: list[str
         if isinstance(node, ast.Name):
             if names is not None and node.id not in names:
                 raise ValueError(f"formula {formula!r} uses an unknown column {node.id!r}")
+            if node.id in variants:
+                return mixed.number(col(node.id))
             return text.to_number(col(node.id)) if node.id in texts else col(node.id)
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(node.value)
@@ -76,5 +80,6 @@ def add_formulas(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
     if not formulas:
         return df
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    made = {name: formula_column(formula, df.columns, texts) for name, formula in formulas.items()}
+    variants = [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
+    made = {name: formula_column(formula, df.columns, texts, variants) for name, formula in formulas.items()}
     return df.withColumns(made)

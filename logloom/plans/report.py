@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions import text
+from logloom.functions import mixed, text
 from logloom.functions.columns import col
 from logloom.functions.times import nearest_time
 from logloom.operators.aggregates import Measure, aggregate, round_times
@@ -43,14 +43,24 @@ def apply_times(df: DataFrame, spec: ReportSpec) -> DataFrame:
     return df
 
 
+def settle_mixed(df: DataFrame, spec: ReportSpec) -> DataFrame:
+    """Columns of mixed kind as a grouped report takes them: keys as text, so that equal numbers meet, all else as numbers."""
+    variants = [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
+    return df.withColumns({n: mixed.shown(col(n)) if n in spec.group_by else mixed.number(col(n)) for n in variants})
+
+
 def sort_rows(df: DataFrame, keys: tuple[tuple[str, bool], ...], by_number: tuple[str, ...] = ()) -> DataFrame:
     """Sort by (column, descending); NULL comes first either way.
 
-    `by_number` names text columns whose values may all be numbers; those sort as numbers.
+    `by_number` names text columns whose values may all be numbers; those sort as numbers. Values of mixed kind sort
+    as numbers, and text by itself.
     """
     order: list[Column] = []
     for name, descending in keys:
-        parts = [text.to_number(col(name)), col(name)] if name in by_number else [col(name)]
+        if name in df.columns and isinstance(df.schema[name].dataType, T.VariantType):
+            parts = [mixed.number(col(name)), mixed.plain_text(col(name))]
+        else:
+            parts = [text.to_number(col(name)), col(name)] if name in by_number else [col(name)]
         order.extend(p.desc_nulls_first() if descending else p.asc_nulls_first() for p in parts)
     return df.orderBy(*order) if order else df
 
@@ -85,6 +95,7 @@ def report(df: DataFrame, spec: ReportSpec | dict[str, Any], filtered: bool = Fa
         df = keep_rows(df, list(spec.filters), loose)
     df = apply_times(df, spec)
     if spec.grouped:
+        df = settle_mixed(df, spec)
         df = aggregate(df, list(spec.group_by), spec.measures)
     df = add_formulas(df, spec.formulas)
     unknown = [name for name, _ in spec.sort if name not in df.columns]

@@ -69,12 +69,12 @@ class ReportSpec:
 
     @property
     def property_types(self) -> dict[str, str]:
-        """Declared types, and DOUBLE for every column that is calculated with."""
+        """Declared types, and for every other column that is calculated with DOUBLE, or mixed where rows are listed as they are."""
         numeric = {m.column for m in self.measures if any(not roundtime_of(a) for a in m.aggregates)}
         for formula in self.formulas.values():
             numeric.update(formula_names(formula))
         numeric -= {*BUILT_IN, *self.group_by, *self.formulas}
-        return {**{n: "double" for n in numeric}, **self.types}
+        return {**{n: "double" if self.grouped else "mixed" for n in numeric}, **self.types}
 
 
 def _result_key(entry: dict[str, Any]) -> ResultKey:

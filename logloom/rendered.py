@@ -22,8 +22,8 @@ def rendered_path(root: str = "/logs/full") -> Column:
     return _text(f"{root}/rphost_", process, "/", F.date_format("ts", "yyMMddHH"), ".log")
 
 
-def first_line() -> Column:
-    """Start line: some properties are always there, `Memory` and `Note` only for some events."""
+def first_line(extra: Column | str = "") -> Column:
+    """Start line: some properties are always there, `Memory` and `Note` only for some events; `extra` is text with more."""
     i, user = F.col("event_id"), F.col("user_id")
     memory = F.when(i % 3 != 0, _text(",Memory=", i * 8)).otherwise(F.lit(""))
     note = F.when(i % 4 == 0, _text(',Note="said ""hi"" ,Inner=nobody ', i % 5, ', ok"')).otherwise(F.lit(""))
@@ -33,7 +33,7 @@ def first_line() -> Column:
     return _text(
         F.date_format("ts", "mm:ss.SSSSSS"), "-", F.round(F.col("value") * 1_000_000).cast("bigint"), ",",
         F.upper("event_type"), ",1,process=rphost,p:processName=base", user % 5, ",Usr=U", user,
-        ",EventId=", i, memory, note, sql, ",Context='step ", i % 7,
+        ",EventId=", i, memory, note, sql, extra, ",Context='step ", i % 7,
     )
 
 
@@ -41,9 +41,9 @@ def second_line() -> Column:
     return _text("   last ", F.col("event_id") % 5, "'  ")
 
 
-def render(events: DataFrame, root: str = "/logs/full") -> DataFrame:
+def render(events: DataFrame, root: str = "/logs/full", extra: Column | str = "") -> DataFrame:
     """Two lines per event."""
-    lines = F.posexplode(F.array(first_line(), second_line())).alias("n", "value")
+    lines = F.posexplode(F.array(first_line(extra), second_line())).alias("n", "value")
     pos = (F.col("event_id") * 2 + F.col("n")).alias("pos")
     return (
         events.select(rendered_path(root).alias("file_path"), "event_id", lines)

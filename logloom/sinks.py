@@ -6,14 +6,20 @@ import os
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from logloom.functions import mixed
+from logloom.functions.columns import col
 
 FORMATS = ("csv", "parquet", "json")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
-    """Write a report as a Spark table folder; CSV has a header line and quotes multi-line text."""
+    """Write a report as a Spark table folder; CSV has a header line, quotes multi-line text and shows values of mixed kind as text."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown report format {fmt!r}: use one of {FORMATS}")
+    if fmt == "csv":
+        df = df.select(*[mixed.shown(col(f.name)).alias(f.name) if isinstance(f.dataType, T.VariantType) else col(f.name) for f in df.schema])
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("encoding", "UTF-8")

@@ -12,7 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions import regex, text
+from logloom.functions import mixed, regex, text
 from logloom.functions.columns import col, with_computed
 from logloom.functions.times import event_time
 from logloom.operators.filters import Filter, all_of
@@ -27,7 +27,7 @@ DERIVED = {"lastcontext": "Context"}
 # Fixed value: the property that holds SQL text.
 SQL_PROPERTY = "Sql"
 
-TYPES = ("string", "double", "bigint")
+TYPES = ("string", "double", "bigint", "mixed")
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class EventColumns:
 
     `keys` may name built-in, derived and plain properties. Events without every property behind
     `keys` are dropped if `require_all`; `extra` properties are read too but never required. `types`
-    declares numeric properties; the rest are text.
+    declares numeric properties and those of mixed kind; the rest are text.
     """
 
     keys: list[str]
@@ -142,6 +142,8 @@ def typed(c: Column, kind: str) -> Column:
         return text.to_number(c)
     if kind == "bigint":
         return text.to_integer(c)
+    if kind == "mixed":
+        return mixed.from_text(c)
     return c
 
 
