@@ -12,9 +12,10 @@ from logloom.operators.filters import Filter, all_of
 from logloom.plans.report import report_lines
 from logloom.rendered import render, rendered_files
 from logloom.sources.events import EventColumns, log_events, scratch_folder
-from logloom.sources.files import file_inventory, select_log_files
+from logloom.sources.files import file_inventory, select_log_files, skipped_files
 from logloom.sources.framing import frame_events
 from logloom.sources.lines import decode_lines, read_lines
+from logloom.sources.watch import Watch
 
 FIRST = """strftime(ts, '%M:%S.%f') || '-' || CAST(round(value * 1000000) AS BIGINT) || ',' || upper(event_type)
     || ',1,process=rphost,p:processName=base' || (user_id % 5) || ',Usr=U' || user_id || ',EventId=' || event_id
@@ -102,6 +103,48 @@ def _(table):
     return decode_lines(table("events").select("event_id", mixed.alias("value")))
 
 
+# every 7th event has a minute that is none, every 11th file starts with lines of no event, every 5th file has no hour in its name
+def damaged_lines(table):
+    lines = log_lines(table)
+    first = F.col("value").rlike("^[0-9][0-9]:") & F.col("value").contains(",EventId=")
+    event = F.regexp_extract("value", ",EventId=([0-9]+)", 1).try_cast("bigint")
+    value = F.when(first & (event % 7 == 0), F.concat(F.lit("75"), F.substr("value", F.lit(3)))).otherwise(F.col("value"))
+    hour = F.regexp_extract("file_path", "([0-9]{2})[.]log$", 1).cast("int")
+    heads = lines.select("file_path").distinct().where(hour % 11 == 0)
+    heads = heads.select("file_path", F.lit(-2).cast("bigint").alias("block"), F.explode(F.sequence(F.lit(-2).cast("bigint"), F.lit(-1).cast("bigint"))).alias("pos"), F.lit(False).alias("sole"), F.lit("no event").alias("value"))
+    return lines.withColumn("value", value).unionByName(heads)
+
+
+@query("src_skipped", f"""
+    WITH wanted AS (SELECT * FROM ({EV}) WHERE "Name" = 'CLICK'), timed AS (SELECT * FROM wanted WHERE event_id % 7 <> 0), whole AS (SELECT * FROM timed WHERE "Memory" IS NOT NULL)
+    SELECT 'untimed' AS reason, CAST(count(*) AS BIGINT) AS n FROM wanted WHERE event_id % 7 = 0
+    UNION ALL SELECT 'lost_lines', CAST(2 * count(DISTINCT processname || filename) AS BIGINT) FROM ({EV}) WHERE CAST(filename[7:8] AS INT) % 11 = 0
+    UNION ALL SELECT 'malformed', 0
+    UNION ALL SELECT 'incomplete', CAST(count(*) AS BIGINT) FROM timed WHERE "Memory" IS NULL
+    UNION ALL SELECT 'filtered', CAST(count(*) AS BIGINT) FROM whole WHERE NOT duration > 100
+    UNION ALL SELECT 'events', CAST(count(*) AS BIGINT) FROM whole WHERE duration > 100""")
+def _(table):
+    """How many lines and events are left out, and why, counted by the one reading of the log."""
+    lines, watch = damaged_lines(table), Watch()
+    spark = lines.sparkSession
+    columns = EventColumns(keys=["Usr", "Memory"], filters=[Filter("duration", "gt", 100)])
+    log_events(lines, columns, "CLICK", stage=scratch_folder(spark), watch=watch)
+    return spark.createDataFrame(list(watch.counts().items()), "reason string, n long")
+
+
+@query("src_skipped_files", f"""
+    WITH f AS (SELECT CASE WHEN CAST(path[-6:-5] AS INT) % 5 = 0 THEN replace(path, '.log', '') || 'x' || path[-12:-5] || '.log' ELSE path END AS path, length,
+        path[-12:-5] AS hour, CAST(path[-6:-5] AS INT) % 5 = 0 AS bad FROM ({FILES}))
+    SELECT replace(path, hour || 'x', 'x') AS path, length, CASE WHEN bad THEN 'name' WHEN NOT hour BETWEEN '24010512' AND '24012018' THEN 'period' ELSE 'size' END AS reason
+    FROM f WHERE bad OR NOT hour BETWEEN '24010512' AND '24012018' OR length <= 300""")
+def _(table):
+    """The log files that are passed over: no hour in the name, outside the period, too small."""
+    bad = F.regexp_extract("path", "([0-9]{2})[.]log$", 1).cast("int") % 5 == 0
+    files = rendered_files(log_lines(table))
+    files = files.withColumn("path", F.when(bad, F.regexp_replace("path", "/([0-9]+[.]log)$", "/x$1")).otherwise(F.col("path")))
+    return skipped_files(files, ["/logs"], ["full"], datetime(2024, 1, 5, 12, 30), datetime(2024, 1, 20, 18, 59, 59), min_size=300)
+
+
 # ---- events --------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""`spark-submit` entry: run the report of a specification file and write it.
+"""`spark-submit` entry: run the report of a specification file, write it, and tell how much of the log was left out.
 
     python -m logloom SPEC.json [csv|parquet|json]
 """
@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from logloom.sinks import FORMATS, write_report
+from logloom.sources.watch import Watch
 
 
 def load_definition(path: str) -> dict[str, Any]:
@@ -30,7 +31,9 @@ def main(arguments: list[str]) -> int:
         return 2
     definition = load_definition(arguments[0])
     spark = SparkSession.builder.appName("logloom report").getOrCreate()
-    print(write_report(spark, definition, *arguments[1:]))
+    watch = Watch()
+    print(write_report(spark, definition, *arguments[1:], watch=watch))
+    print(", ".join(f"{name} {n}" for name, n in watch.counts().items()), file=sys.stderr)
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,18 @@ from logloom.operators.filters import keep_rows
 from logloom.operators.formulas import add_formulas
 from logloom.plans.spec import ReportSpec, SpecError, headers, parse_spec
 from logloom.sources.events import BUILT_IN, EventColumns, log_events, scratch_folder
+from logloom.sources.files import list_skipped_files
 from logloom.sources.lines import read_lines
+from logloom.sources.watch import Watch
+
+log = logging.getLogger(__name__)
 
 # Fixed value: digits that fractional columns of a grouped report are rounded to.
 GROUPED_DIGITS = 2
 
+# Most names of skipped files that go into one warning.
+NAMED_FILES = 20
+
 
 def event_columns(spec: ReportSpec) -> EventColumns:
     """What the report needs from the log; keys used only to filter or group are not required."""
@@ -109,14 +117,14 @@ def report(df: DataFrame, spec: ReportSpec | dict[str, Any], filtered: bool = Fa
 
 def report_lines(
     lines: DataFrame, spec: ReportSpec | dict[str, Any], in_file_order: bool = False,
-    encoding: str | None = "auto", stage: str | None = None,
+    encoding: str | None = "auto", stage: str | None = None, watch: Watch | None = None,
 ) -> DataFrame:
-    """The report over log lines: frame, extract, filter, then `report`."""
+    """The report over log lines: frame, extract, filter, then `report`. A `watch` counts what is left out; it needs a `stage`."""
     if isinstance(spec, dict):
         spec = parse_spec(spec, from_files=False)
     wanted = event_columns(spec)
     events = log_events(
-        lines, wanted, spec.event_name, spec.start, spec.end, in_file_order, encoding, stage
+        lines, wanted, spec.event_name, spec.start, spec.end, in_file_order, encoding, stage, watch
     )
     loose = tuple(k for k in wanted.properties if k not in wanted.types)
     return report(events, spec, filtered=True, loose=loose)
@@ -124,7 +132,7 @@ def report_lines(
 
 def run_report(
     spark: SparkSession, definition: dict[str, Any], stage: bool = True, encoding: str | None = "auto",
-    folder: str | None = None,
+    folder: str | None = None, watch: Watch | None = None,
 ) -> DataFrame:
     """The report over log files.
 
@@ -132,10 +140,29 @@ def run_report(
     in `folder`, or a new one under the cluster's shared folder; the report is computed from there, and
     the caller removes the folder when the report is no longer needed (`write_report` does so). Without
     `stage` the result is one lazy plan that reads the log for every branch.
+
+    With a `watch` the same reading also counts what is left out (see `Watch`), and files whose names hold no hour are
+    warned about; `skipped` lists all files that are passed over.
     """
     spec = parse_spec(definition)
+    if watch is not None:
+        _warn_of_bad_names(skipped(spark, spec))
     lines = read_lines(
         spark, list(spec.base_directories), list(spec.base_subdirectories or ()), spec.start, spec.end
     )
     stage_at = (folder or scratch_folder(spark)) if stage else None
-    return report_lines(lines, spec, in_file_order=True, encoding=encoding, stage=stage_at)
+    return report_lines(lines, spec, in_file_order=True, encoding=encoding, stage=stage_at, watch=watch)
+
+
+def skipped(spark: SparkSession, spec: ReportSpec | dict[str, Any]) -> DataFrame:
+    """`(path, length, reason)` of the log files in the report's directories that it does not read; nothing is opened for this."""
+    if isinstance(spec, dict):
+        spec = parse_spec(spec)
+    return list_skipped_files(spark, list(spec.base_directories), list(spec.base_subdirectories or ()), spec.start, spec.end)
+
+
+def _warn_of_bad_names(files: DataFrame) -> None:
+    bad = files.where("reason = 'name'")
+    named = [r["path"] for r in bad.orderBy("path").limit(NAMED_FILES).collect()]
+    if named:
+        log.warning("%d files have no hour in their names and are skipped: %s", bad.count(), ", ".join(named))

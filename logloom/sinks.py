@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from logloom.functions import mixed
 from logloom.functions.columns import col
+from logloom.sources.watch import Watch
 
 FORMATS = ("csv", "parquet", "json")
 
@@ -34,11 +35,11 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
 
 
 def write_report(
-    spark: SparkSession, definition: dict[str, Any], fmt: str = "csv", encoding: str | None = "auto"
+    spark: SparkSession, definition: dict[str, Any], fmt: str = "csv", encoding: str | None = "auto", watch: Watch | None = None,
 ) -> str:
     """Run the report over log files and write it to `<output_directory>/<output_file>`.
 
-    The events staged on the way are removed again.
+    The events staged on the way are removed again. A `watch` counts what is left out.
     """
     from logloom.plans.report import run_report
     from logloom.sources.events import scratch_folder
@@ -49,6 +50,6 @@ def write_report(
     path = f"{str(definition.get('output_directory') or '.').rstrip('/')}/{stem}"
     folder = scratch_folder(spark)
     try:
-        return write_table(run_report(spark, definition, encoding=encoding, folder=folder), path, fmt)
+        return write_table(run_report(spark, definition, encoding=encoding, folder=folder, watch=watch), path, fmt)
     finally:
         drop_folder(spark, folder)

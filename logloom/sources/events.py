@@ -16,7 +16,8 @@ from logloom.functions import mixed, regex, text
 from logloom.functions.columns import col, with_computed
 from logloom.functions.times import event_time
 from logloom.operators.filters import Filter, all_of
-from logloom.sources.framing import WHOLE, event_fragments, frame_events, raw_text, stitch
+from logloom.sources.framing import WHOLE, event_fragments, frame_events, raw_text, stitch, unowned_lines
+from logloom.sources.watch import Watch
 
 # Columns every event has.
 BUILT_IN = ("timestamp", "Name", "count", "duration", "filename", "processname")
@@ -147,7 +148,7 @@ def typed(c: Column, kind: str) -> Column:
     return c
 
 
-def parse_events(framed: DataFrame, columns: EventColumns, aside: str | None = None) -> DataFrame:
+def parse_events(framed: DataFrame, columns: EventColumns, aside: str | None = None, watch: Watch | None = None) -> DataFrame:
     """Event rows from framed events (`file_path`, `raw`).
 
     Rows in which the column `aside` is filled are no events yet and pass through with it.
@@ -162,7 +163,11 @@ def parse_events(framed: DataFrame, columns: EventColumns, aside: str | None = N
 
     beside = [aside] if aside else []
     rows = framed.select("file_path", "raw", *beside)
-    rows = rows.where(passes(is_event_text(raw) & has_properties(raw, columns.required)))
+    mine = F.lit(True) if aside is None else F.col(aside).isNull()
+    plain, whole = is_event_text(raw), has_properties(raw, columns.required)
+    if watch is not None:
+        rows = watch.over(rows, malformed=F.count_if(mine & ~plain), incomplete=F.count_if(mine & plain & ~whole))
+    rows = rows.where(passes(plain & whole))
     rows = extract_properties(rows, columns.properties)
     built_in = built_in_columns(F.col("file_path"), raw)
     derived = {k: text.last_line(col(DERIVED[k])).alias(k) for k in columns.derived}
@@ -173,7 +178,11 @@ def parse_events(framed: DataFrame, columns: EventColumns, aside: str | None = N
         *beside,
     )
     # filters see property text; whether it counts as a number is decided value by value
-    rows = rows.where(passes(all_of(columns.filters, rows.schema, loose=columns.properties)))
+    chosen = all_of(columns.filters, rows.schema, loose=columns.properties)
+    if watch is not None:
+        kept = F.coalesce(chosen, F.lit(False))
+        rows = watch.over(rows, filtered=F.count_if(mine & ~kept), events=F.count_if(mine & kept))
+    rows = rows.where(passes(chosen))
     wanted = [*columns.properties, *columns.derived]
     return rows.select(
         *[col(k) for k in BUILT_IN],
@@ -222,6 +231,7 @@ def log_events(
     in_file_order: bool = False,
     encoding: str | None = "auto",
     stage: str | None = None,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Event rows from log lines.
 
@@ -229,23 +239,31 @@ def log_events(
     a split and once for those on split borders, and again for every use of the result. With `stage`,
     a folder, the log is read once: finished rows and the few border fragments are written there as
     Parquet, evened out into files of a good size, and the result reads them back, column by column;
-    the text of border fragments is read only to put those together.
+    the text of border fragments is read only to put those together. A `watch` counts what is left out; its counts are
+    complete when this returns. Files are then as the scan gives them, since a shuffle could count a repeated task twice.
     """
     if stage is None:
+        if watch is not None:
+            raise ValueError("what is left out can be counted only while events are staged")
         framed = frame_events(lines, event_name, start, end, in_file_order, encoding)
         return parse_events(framed, columns)
 
     spark = lines.sparkSession
     raw = raw_text(F.col("lines"), encoding)
-    fragments = event_fragments(lines, event_name, start, end, in_file_order)
+    fragments = event_fragments(lines, event_name, start, end, in_file_order, watch)
     rim = F.when(F.col("role") != WHOLE, F.struct(*fragments.columns))
     marked = fragments.withColumn("__rim", rim)
     once = with_computed(marked, "raw", F.when(F.col("role") == WHOLE, raw), ["file_path", "__rim"])
-    rows = parse_events(once, columns, aside="__rim")
+    rows = parse_events(once, columns, aside="__rim", watch=watch)
     # the rows hold extracted columns of wanted events only, so evening them out is cheap beside the scan
     flagged = rows.withColumn("__crosses", F.col("__rim").isNotNull())
-    flagged.hint("rebalance").write.mode("overwrite").parquet(stage)
-    saved = spark.read.schema(flagged.schema).parquet(stage)
+    place = stage if watch is None else f"{stage}/inside"
+    (flagged.hint("rebalance") if watch is None else flagged).write.mode("overwrite").parquet(place)
+    saved = spark.read.schema(flagged.schema).parquet(place)
     rims = saved.where("__crosses").select("__rim.*")
-    crossing = parse_events(with_computed(stitch(rims), "raw", raw, ["file_path"]), columns)
+    crossing = parse_events(with_computed(stitch(rims), "raw", raw, ["file_path"]), columns, watch=watch)
+    if watch is not None:
+        watch.add("lost_lines", unowned_lines(rims))
+        crossing.write.mode("overwrite").parquet(f"{stage}/crossing")
+        crossing = spark.read.schema(crossing.schema).parquet(f"{stage}/crossing")
     return saved.where("NOT __crosses").drop("__rim", "__crosses").unionByName(crossing)

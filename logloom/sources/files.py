@@ -79,6 +79,23 @@ def select_log_files(
     return chosen.distinct()
 
 
+def skip_reason(name: Column, length: Column, start: datetime | None, end: datetime | None, min_size: int = MIN_SIZE) -> Column:
+    """Why a log file is not read: `name` (it has no valid hour), `period` or `size`; NULL if it is."""
+    return (
+        F.when(file_hour(name).isNull(), "name").when(~in_period(name, start, end), "period").when(length <= min_size, "size")
+    )
+
+
+def skipped_files(
+    files: DataFrame, dirs: list[str] | None = None, subdirs: list[str] | None = None, start: datetime | None = None, end: datetime | None = None,
+    min_size: int = MIN_SIZE,
+) -> DataFrame:
+    """`(path, length, reason)` of the log files in the right directories that are not read, from `(path, length)`."""
+    chosen = select_log_files(files, dirs, subdirs, prune=False)
+    reason = skip_reason(F.substring_index("path", "/", -1), F.col("length"), start, end, min_size)
+    return chosen.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 def file_inventory(files: DataFrame) -> DataFrame:
     """Number of files and their total size in MB, as one row."""
     return files.agg(
@@ -111,6 +128,21 @@ def _encoded(spark: SparkSession, name: str) -> str:
     return spark._jvm.org.apache.hadoop.fs.Path("/" + name).toUri().toString()[1:]
 
 
+def _listed(spark: SparkSession, dirs: list[str]) -> tuple[DataFrame, list[str]]:
+    """`(path, length)` of all log files below the base directories that exist, and these directories."""
+    found = _existing(spark, dirs)
+    if not found:
+        return spark.createDataFrame([], "path string, length bigint"), []
+    listing = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", LOG_GLOB)
+        .load([_no_glob(directory) for directory, _ in found])
+        .select("path", "length")
+    )
+    return listing, [spark._jvm.org.apache.hadoop.fs.Path(d).toUri().getPath() for d, _ in found]
+
+
 def list_log_files(
     spark: SparkSession,
     dirs: list[str],
@@ -121,20 +153,18 @@ def list_log_files(
     prune: bool = True,
 ) -> DataFrame:
     """`(path, length)` of the log files below the base directories; contents are not read."""
-    found = _existing(spark, dirs)
-    if not found:
-        return spark.createDataFrame([], "path string, length bigint")
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", LOG_GLOB)
-        .load([_no_glob(directory) for directory, _ in found])
-        .select("path", "length")
-    )
-    bases = [spark._jvm.org.apache.hadoop.fs.Path(d).toUri().getPath() for d, _ in found]
+    listing, bases = _listed(spark, dirs)
     return select_log_files(listing, bases, subdirs, start, end, min_size, prune)
 
 
+def list_skipped_files(
+    spark: SparkSession, dirs: list[str], subdirs: list[str] | None = None, start: datetime | None = None, end: datetime | None = None, min_size: int = MIN_SIZE,
+) -> DataFrame:
+    """`(path, length, reason)` of the log files below the base directories that a report does not read."""
+    listing, bases = _listed(spark, dirs)
+    return skipped_files(listing, bases, subdirs, start, end, min_size)
+
+
 def log_text_scans(
     spark: SparkSession,
     dirs: list[str],

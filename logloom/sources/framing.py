@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from logloom.functions.columns import with_computed
 from logloom.functions.text import NEWLINE_MARK, clean_line, decode_text
 from logloom.functions.times import event_time, ntz
+from logloom.sources.watch import Watch
 
 # Fixed value: how the first line of an event begins (minute, second, fraction, duration).
 EVENT_START = r"^[0-9]{2}:[0-9]{2}\.[0-9]+-[0-9]+,"
 
-WHOLE, HEAD, TAIL = 0, 1, 2
+WHOLE, HEAD, TAIL, LOST = 0, 1, 2, 3
 START, WANTED, SOLE, FLAG_BITS = 1, 2, 4, 3
 
 FRAGMENT_SCHEMA = (
@@ -50,22 +51,33 @@ def is_wanted(
     if end is not None:
         keep &= at <= ntz(end)
     if event_name is not None:
-        # the name stands between the first two commas
-        keep = (F.instr(line, f",{event_name},") == F.instr(line, ",")) & keep
+        keep = has_name(line, event_name) & keep
     return F.coalesce(keep, F.lit(False))
 
 
-def _run_grouper():
+def has_name(line: Column, event_name: str) -> Column:
+    """Whether an event's type, which stands between the first two commas, is this one."""
+    return F.instr(line, f",{event_name},") == F.instr(line, ",")
+
+
+def is_untimed(file_path: Column, line: Column, event_name: str | None) -> Column:
+    """For a start line: right event type, but no valid time."""
+    untimed = event_time(F.substring_index(file_path, "/", -1), line).isNull()
+    return untimed if event_name is None else has_name(line, event_name) & untimed
+
+
+def _run_grouper(count_lost: bool = False):
     """The function for mapInArrow; self-contained, so that executors need no copy of this package.
 
     Input: `id_a, block, tag, file_path, value`. `tag` holds more bits of the file's identity above
     three flag bits (START, WANTED, SOLE): every column costs time for every line of text.
-    `file_path` is there on wanted starts only. Output: FRAGMENT_SCHEMA.
+    `file_path` is there on wanted starts only. Output: FRAGMENT_SCHEMA. With `count_lost` there is also a row
+    for the lines before the first start of a whole file: role LOST, their number as `seq`, and no text.
     """
     import numpy as np
     import pyarrow as pa
 
-    whole, head, tail = WHOLE, HEAD, TAIL
+    whole, head, tail, lost = WHOLE, HEAD, TAIL, LOST
     start_bit, wanted_bit, sole_bit, shift = START, WANTED, SOLE, FLAG_BITS
     names = ["id_a", "id_b", "block", "seq", "role", "wanted", "file_path", "lines"]
 
@@ -74,9 +86,15 @@ def _run_grouper():
         rest = [pa.array(seq, pa.int64()), pa.array(role, pa.int32()), pa.array(wanted, pa.bool_())]
         return pa.RecordBatch.from_arrays([*split, *rest, path, lines], names=names)
 
+    def lost_rows(*split, size, path):
+        none = pa.ListArray.from_arrays(pa.array([0] * (len(size) + 1), pa.int32()), pa.array([], pa.string()))
+        return to_rows(split, size, [lost] * len(size), [False] * len(size), path, none)
+
     def close(run, last):
         """The row for a run that reached across batches, if it is needed."""
         role = head if not run["start"] else tail if last and not run["sole"] else whole
+        if role == head and run["sole"] and count_lost:
+            return lost_rows(*[[v] for v in run["split"]], size=[run["size"]], path=run["path"])
         if (role == whole and not run["wanted"]) or (role == head and run["sole"]):
             return None
         text = pa.concat_arrays(run["lines"]) if run["lines"] else pa.array([], pa.string())
@@ -102,6 +120,8 @@ def _run_grouper():
 
             at = np.flatnonzero(start | new_split)
             lead = at[0] if len(at) else n
+            if run is not None:
+                run["size"] += int(lead)
             if lead and run["keep"]:
                 run["lines"].append(text.slice(0, lead))
             if not len(at):
@@ -126,6 +146,9 @@ def _run_grouper():
             ok, alone = wanted[first], sole[first]
             role = np.where(~opens[:done], head, np.where(fresh[1:] & ~alone, tail, whole))
             needed = np.where(role == whole, ok, np.where(role == head, ~alone, True))
+            unowned = np.flatnonzero((role == head) & alone)
+            if count_lost and len(unowned):
+                yield lost_rows(*[part[first[unowned]] for part in split], size=size[unowned], path=path.take(pa.array(first[unowned])))
             if needed.any():
                 with_text = needed & ((role == head) | ok)
                 lines = text.slice(at[0], at[-1] - at[0]).filter(pa.array(np.repeat(with_text, size)))
@@ -140,7 +163,7 @@ def _run_grouper():
             i = int(at[-1])
             run = {
                 "split": [part[i] for part in split], "seq": int(seq[-1]), "sole": bool(sole[i]),
-                "start": bool(opens[-1]), "wanted": bool(wanted[i]), "path": path.slice(i, 1), "lines": [],
+                "start": bool(opens[-1]), "wanted": bool(wanted[i]), "path": path.slice(i, 1), "lines": [], "size": n - i,
             }
             run["keep"] = run["wanted"] if run["start"] else not run["sole"]
             if run["keep"]:
@@ -159,6 +182,7 @@ def event_fragments(
     start: datetime | None = None,
     end: datetime | None = None,
     in_file_order: bool = False,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """Wanted events that lie inside one split, plus the fragments at the rims of every split.
 
@@ -176,6 +200,8 @@ def event_fragments(
         "file_path", "block", "sole", "value",
         F.when(~is_start(value), 0).when(wanted, START + WANTED).otherwise(START).alias("flags"),
     )
+    if watch is not None:
+        marked = watch.over(marked, untimed=F.count_if((flags == START) & is_untimed(path, value, event_name)))
     sole = F.when(F.col("sole"), SOLE).otherwise(0)
     shipped = marked.select(
         F.xxhash64(path).alias("id_a"),
@@ -185,7 +211,24 @@ def event_fragments(
         # the text of an unwanted start line is not needed past this point
         F.when(flags != START, value).alias("value"),
     )
-    return shipped.mapInArrow(_run_grouper(), FRAGMENT_SCHEMA)
+    if watch is None:
+        return shipped.mapInArrow(_run_grouper(), FRAGMENT_SCHEMA)
+    fragments = shipped.mapInArrow(_run_grouper(count_lost=True), FRAGMENT_SCHEMA)
+    return watch.over(fragments, lost_lines=F.sum(F.when(F.col("role") == LOST, F.col("seq")))).where(F.col("role") != LOST)
+
+
+def _with_owner(slim: DataFrame) -> DataFrame:
+    """For every fragment the last start at or before it in its file; NULL before the first."""
+    tail = F.when(F.col("role") == TAIL, F.struct("block", "seq", "wanted"))
+    upto = Window.partitionBy("id_a", "id_b").orderBy("block", "seq")
+    return slim.withColumn("owner", F.last(tail, ignorenulls=True).over(upto))
+
+
+def unowned_lines(rims: DataFrame) -> int:
+    """How many lines in HEAD fragments belong to no event, as they stand before the first one of a file that is read in several splits."""
+    slim = rims.select("id_a", "id_b", "block", "seq", "role", "wanted", F.size("lines").alias("size"))
+    lost = _with_owner(slim).where((F.col("role") == HEAD) & F.col("owner").isNull())
+    return lost.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
 def stitch(rims: DataFrame) -> DataFrame:
@@ -193,11 +236,9 @@ def stitch(rims: DataFrame) -> DataFrame:
 
     Owners are found without any text, from at most two short rows per split; text is fetched for wanted ones only.
     """
-    tail = F.when(F.col("role") == TAIL, F.struct("block", "seq", "wanted"))
     place = ["id_a", "id_b", "block", "seq"]
-    upto = Window.partitionBy("id_a", "id_b").orderBy("block", "seq")
     slim = rims.select(*place, "role", "wanted")
-    owners = slim.withColumn("owner", F.last(tail, ignorenulls=True).over(upto)).where("owner.wanted").select(*place, "owner")
+    owners = _with_owner(slim).where("owner.wanted").select(*place, "owner")
     owned = rims.select(*place, "file_path", "lines").join(owners, place)
     piece = F.struct(F.col("block"), F.col("seq"), F.col("lines"))
     event = ["id_a", "id_b", F.col("owner.block").alias("block"), F.col("owner.seq").alias("seq")]
