@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
 from checks.log_queries import EV, log_lines
 from checks.registry import query, rounded
 from logloom.plans import presets
 from logloom.plans.report import report, report_lines
+from logloom.plans.store import ReportStore
 from logloom.sources.events import scratch_folder
 
 # ---- layout --------------------------------------------------------------------------------------
@@ -143,6 +148,36 @@ def _(table):
     return log_report(table, spec)
 
 
+STORED = {
+    "event_name": "CLICK", "event_limit": 0, "keys_aggregate": "p:processName", "keys_sort": "duration desc",
+    "keys_result": [
+        {"name": "p:processName", "alias": "База"}, {"name": "count", "alias": "N", "aggregation": ["sum"]}, {"name": "Memory", "aggregation": ["sum"]},
+        {"name": "duration", "alias": "Duration, s", "aggregation": ["sum", "percent", "mean", "median", "p95", "stddev", "min", "max", "intervals_3_5"]},
+        {"name": "Each", "formula": "duration / count"},
+    ],
+}
+
+
+@query("report_stored", f"""
+    {ev('CLICK', IN_PERIOD + ' AND "Memory" IS NOT NULL')}
+    SELECT "p:processName" AS "База", CAST(count(*) AS BIGINT) AS "N (sum)",
+           CAST(sum("Memory") AS DOUBLE) AS "Memory (sum)", {SPREAD},
+           {rounded('round(round(sum(duration), 9) / count(*), 3)')} AS "Each"
+    FROM ev GROUP BY "p:processName" """)
+def _(table):
+    """A report over some weeks from states that were stored day by day, the hours of one day twice."""
+    lines = log_lines(table)
+    spark = lines.sparkSession
+    store = ReportStore(spark, STORED, scratch_folder(spark), from_files=False)
+    hour = F.regexp_extract("file_path", "([0-9]{8})[.]log$", 1)
+    sized = lines.groupBy(hour.alias("hour")).agg(F.count_distinct("file_path").alias("files"), F.sum(F.octet_length("value")).alias("bytes"))
+    hours = [tuple(r) for r in sized.orderBy("hour").collect()]
+    days = sorted({h[0][:6] for h in hours})
+    for some in (days[: len(days) // 2], days[len(days) // 2 :], days[5:6]):
+        store.add(lines.where(F.substring(hour, 1, 6).isin(some)), [h for h in hours if h[0][:6] in some])
+    return store.report(datetime(2024, 1, 3, 12), datetime(2024, 1, 25, 23, 59, 59))
+
+
 @query("report_events", f"""
     {ev('ERROR', IN_PERIOD)}
     SELECT "timestamp" AS "Дата", processname AS "Процесс", "Usr", CAST(event_id AS VARCHAR) AS "EventId",

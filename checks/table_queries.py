@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from logloom.functions.text import last_line, normalize_sql
 from logloom.functions.times import floor_time, nearest_time
-from logloom.operators.aggregates import Measure, aggregate
+from logloom.operators.aggregates import Measure, aggregate, interval_buckets
 from logloom.operators.filters import keep_rows, load_filters
+from logloom.operators.states import finished, merged, states_of
 from logloom.plans.report import sort_rows
 
 
@@ -227,6 +228,39 @@ def _(table):
     return aggregate(shifted(table), ["kind"], [Measure("v", ("intervals_20_3",))])
 
 
+def _wide(column, low, high):
+    inside = f"{column} >= {low}" + (f" AND {column} < {high}" if high is not None else "")
+    return rounded(f"count(*) FILTER (WHERE {inside}) / count(*) * 100")
+
+
+WIDE = ("v", "user_id", "third")
+
+
+@query("agg_intervals_wide", "SELECT kind, " + ", ".join(
+    f'{_wide(c, low, high)} AS "{c}_intervals_1_500_{label}"' for c in WIDE for label, low, high in interval_buckets(1, 500)
+) + f" FROM (SELECT *, v / 3 AS third FROM ({SHIFTED})) GROUP BY kind")
+def _(table):
+    """Three histograms of 500 buckets; negative and missing values count in the total only."""
+    rows = shifted(table).withColumn("third", F.col("v") / 3)
+    return aggregate(rows, ["kind"], [Measure(c, ("intervals_1_500",)) for c in WIDE])
+
+
+@query("agg_states", shifted_sql(", ".join([
+    "round(coalesce(sum(v), 0), 4) AS v", "round(min(v), 4) AS v_min", "round(max(v), 4) AS v_max", "round(avg(v), 6) AS v_mean", "round(median(v), 6) AS v_median",
+    "round(quantile_cont(v, 0.95), 6) AS v_p95", "round(stddev_pop(v), 6) AS v_stddev",
+    *[f'{_share(low, high)} AS "v_intervals_20_3_{label}"' for label, low, high in [("<20", 0, 20), ("20-40", 20, 40), ("40-60", 40, 60), ("60>", 60, None)]],
+    "max(user_id) AS user_id_max", "CAST(sum(user_id) AS BIGINT) AS user_id",
+    rounded(f"sum(user_id) / (SELECT sum(user_id) FROM ({SHIFTED})) * 100") + " AS user_id_percent",
+])))
+def _(table):
+    """States of seven parts of a table, merged: the whole catalogue as for all rows at once."""
+    measures = [Measure("v", ("sum", "min", "max", "mean", "median", "p95", "stddev", "intervals_20_3")), Measure("user_id", ("max", "sum", "percent"))]
+    parts = states_of(shifted(table).withColumn("part", F.col("user_id") % 7), ["part", "kind"], measures)
+    made = finished(merged(parts, ["kind"]), ["kind"], measures)
+    digits = {"v": 4, "v_min": 4, "v_max": 4, "v_mean": 6, "v_median": 6, "v_p95": 6, "v_stddev": 6}
+    return made.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 def _floor_sql(bucket):
     return f"time_bucket(INTERVAL '{bucket}', ts, TIMESTAMP '1970-01-01')"
 

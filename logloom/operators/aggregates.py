@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.columns import col
+from logloom.functions.columns import col, quoted
 from logloom.functions.times import floor_time, parse_bucket
-from logloom.operators.percentiles import exact_percentiles, same_keys
+from logloom.operators.histograms import bucket_counts, histograms
+from logloom.operators.percentiles import percentiles_of, same_keys, value_counts
 
 # Aggregate name -> (suffix of the internal column, suffix of the report header).
 CATALOGUE = {
@@ -31,6 +32,9 @@ CATALOGUE = {
 # The fractions behind the two percentile aggregates.
 PERCENTILES = {"median": 0.5, "p95": 0.95}
 
+# Most interval buckets that are counted by an expression each; more are counted by number.
+NARROW = 24
+
 # Fixed value: the largest N in roundtime_Nu.
 MAX_ROUND = 9999
 
@@ -109,47 +113,88 @@ def _plain(column: str, aggregate: str) -> list[Column]:
     return [made[aggregate].alias(column + CATALOGUE[aggregate][0])] if aggregate in made else []
 
 
+@dataclass(frozen=True)
+class Asked:
+    """What is computed of each column: its aggregates in order, each once."""
+
+    names: dict[str, tuple[str, ...]]
+
+    @classmethod
+    def of(cls, measures: list[Measure]) -> Asked:
+        names: dict[str, tuple[str, ...]] = {}
+        for m in measures:
+            wanted = [*names.get(m.column, ()), *(a for a in m.aggregates if not roundtime_of(a))]
+            names[m.column] = tuple(dict.fromkeys(wanted))
+        return cls(names)
+
+    @property
+    def shares(self) -> dict[str, str]:
+        """Columns with a share of the total, and the column that holds a group's sum."""
+        return {c: c if "sum" in names else f"__sum_{c}" for c, names in self.names.items() if "percent" in names}
+
+    @property
+    def percentiles(self) -> dict[str, dict[str, float]]:
+        """Columns with percentiles: output names and fractions."""
+        chosen = {c: {c + CATALOGUE[n][0]: PERCENTILES[n] for n in names if n in PERCENTILES} for c, names in self.names.items()}
+        return {c: wanted for c, wanted in chosen.items() if wanted}
+
+    @property
+    def intervals(self) -> list[tuple[str, str]]:
+        """(column, aggregate) of the interval histograms."""
+        return [(c, n) for c, names in self.names.items() for n in names if intervals_of(n)]
+
+
 def aggregate(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
     """Group by `keys` (NULL is a group) and compute all measures.
 
     One partial/final aggregation serves all measures but percentiles, which are counted together on
-    their own narrow projection and joined to the groups.
+    their own narrow projection and joined to the groups, as are histograms of many buckets.
     """
-    asked: dict[str, list[str]] = {}
-    for m in measures:
-        names = asked.setdefault(m.column, [])
-        names.extend(a for a in m.aggregates if a not in names and not roundtime_of(a))
-
+    asked = Asked.of(measures)
+    wide = asked.intervals if sum(intervals_of(n)[1] for _, n in asked.intervals) > NARROW else []
     groups = [col(k) for k in keys]
-    expressions, shares, percentiles = [], [], {}
-    for column, names in asked.items():
-        for name in names:
-            expressions.extend(_plain(column, name))
-        if "percent" in names:
-            shares.append(column)
-            if "sum" not in names:
-                expressions.append(_total(col(column)).alias(f"__sum_{column}"))
-        chosen = {column + CATALOGUE[n][0]: PERCENTILES[n] for n in names if n in PERCENTILES}
-        if chosen:
-            percentiles[column] = chosen
+    expressions = [e for c, names in asked.names.items() for n in names if (c, n) not in wide for e in _plain(c, n)]
+    expressions += [_total(col(c)).alias(total) for c, total in asked.shares.items() if total != c]
+    if wide:
+        expressions.append(F.count(F.lit(1)).alias("__rows"))
     result = df.groupBy(*groups).agg(*expressions) if expressions else df.select(*groups).distinct()
+    counted = value_counts(df, keys, list(asked.percentiles)) if asked.percentiles else None
+    buckets = bucket_counts(df, keys, [(c, *intervals_of(n)) for c, n in wide]) if wide else None
+    return completed(result, keys, asked, counted, buckets, wide)
+
 
+def completed(
+    result: DataFrame, keys: list[str], asked: Asked, counted: DataFrame | None, buckets: DataFrame | None, wide: list[tuple[str, str]],
+) -> DataFrame:
+    """Groups with their shares of the total, and the percentiles and histograms that `counted` and `buckets` give."""
     grouped = result
-    for column in shares:
-        total_name = column if "sum" in asked[column] else f"__sum_{column}"
+    for column, total in asked.shares.items():
         # one number from the groups, computed as a scalar subquery
-        everything = grouped.agg(_total(col(total_name)).alias("__all")).scalar()
-        share = F.round(F.try_divide(col(total_name), everything) * 100, 2)
+        everything = grouped.agg(_total(col(total)).alias("__all")).scalar()
+        share = F.round(F.try_divide(col(total), everything) * 100, 2)
         result = result.withColumn(column + CATALOGUE["percent"][0], share)
-    if percentiles:
-        found = exact_percentiles(df, keys, percentiles)
-        names = [name for chosen in percentiles.values() for name in chosen]
+    if counted is not None:
+        found = percentiles_of(counted, keys, asked.percentiles)
+        names = [name for chosen in asked.percentiles.values() for name in chosen]
         result = (
             result.alias("l")
             .join(found.alias("r"), same_keys("l", "r", keys), "left")
             .select("l.*", *[F.col(f"r.`{name}`") for name in names])
         )
-    return result.drop(*[f"__sum_{c}" for c in asked])
+    if buckets is not None:
+        found = histograms(buckets, keys, [(c, *intervals_of(n)) for c, n in wide])
+        result = result.alias("l").join(found.alias("r"), same_keys("l", "r", keys), "left")
+        arrays = [
+            F.transform(F.coalesce(f"r.__h{i}", F.array_repeat(F.lit(0).cast("bigint"), intervals_of(n)[1] + 1)), lambda c: F.round(c / F.col("l.__rows") * 100, 2))
+            for i, (_, n) in enumerate(wide)
+        ]
+        result = result.select("l.*", *[shares.alias(f"__h{i}") for i, shares in enumerate(arrays)])
+        parts = [
+            f"get(__h{i}, {b}) AS {quoted(f'{c}_{n}_{label}')}"
+            for i, (c, n) in enumerate(wide) for b, (label, _, _) in enumerate(interval_buckets(*intervals_of(n)))
+        ]
+        result = result.selectExpr("*", *parts).drop(*[f"__h{i}" for i in range(len(wide))])
+    return result.drop("__rows", *[total for c, total in asked.shares.items() if total != c])
 
 
 def round_times(df: DataFrame, measures: list[Measure]) -> DataFrame:

@@ -54,14 +54,22 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str
     `wanted` maps columns to output names and fractions; all columns are counted in one go. Groups without any
     value have no row, columns without any are NULL.
     """
+    return percentiles_of(value_counts(df, keys, list(wanted)), keys, wanted)
+
+
+def value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """`keys`, `__i` (which of `columns`), `__v` (a value as DOUBLE), `__c` (how often the group has it)."""
+    groups = [col(k) for k in keys]
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    rows = df.select(*groups, stacked.alias("__s")).select(*groups, F.col("__s.i").alias("__i"), F.col("__s.v").alias("__v"))
+    return rows.where(F.col("__v").isNotNull()).groupBy(*groups, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
+
+
+def percentiles_of(counts: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """Per group, exact percentiles from `value_counts` over the columns of `wanted`."""
     groups = [col(k) for k in keys]
     parts = [*groups, F.col("__i")]
-    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("v")) for i, c in enumerate(wanted)]))
-    counts = (
-        df.select(*groups, stacked.alias("__s")).select(*groups, F.col("__s.i").alias("__i"), F.col("__s.v").alias("__v"))
-        .where(F.col("__v").isNotNull()).groupBy(*parts, "__v").agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__r", value_range(F.col("__v")))
-    )
+    counts = counts.withColumn("__r", value_range(F.col("__v")))
     upto = Window.partitionBy(*parts).orderBy("__r")
     ranges = (
         counts.groupBy(*parts, "__r").agg(F.sum("__c").alias("__n"))

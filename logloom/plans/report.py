@@ -105,6 +105,11 @@ def report(df: DataFrame, spec: ReportSpec | dict[str, Any], filtered: bool = Fa
     if spec.grouped:
         df = settle_mixed(df, spec)
         df = aggregate(df, list(spec.group_by), spec.measures)
+    return finish(df, spec, loose)
+
+
+def finish(df: DataFrame, spec: ReportSpec, loose: tuple[str, ...] = ()) -> DataFrame:
+    """The report from its groups or rows: formulas, sorting, limit, layout."""
     df = add_formulas(df, spec.formulas)
     unknown = [name for name, _ in spec.sort if name not in df.columns]
     if unknown:

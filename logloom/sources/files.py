@@ -173,9 +173,12 @@ def log_text_scans(
     end: datetime | None = None,
     min_size: int = MIN_SIZE,
     glob: str | None = None,
+    hours: list[str] | None = None,
 ) -> list[DataFrame]:
     """One text scan per base directory, over its chosen files, with `_metadata` still available.
 
+    `hours` (yymmddhh) may name the hours whose files are read.
+
     The predicates are plain substring tests because Spark also repeats them per row. They may let
     a badly named file through; its events have no valid time and are dropped later.
     """
@@ -192,6 +195,8 @@ def log_text_scans(
             scan = scan.where(name >= start.strftime("%y%m%d%H"))
         if end is not None:
             scan = scan.where(name <= end.strftime("%y%m%d%H"))
+        if hours is not None:
+            scan = scan.where(name.isin(hours))
         if subdirs is not None:
             # from the slash before the base's own name onward
             below = F.substr(path, F.lit(uri.rstrip("/").rfind("/") + 1))

@@ -34,8 +34,12 @@ def read_lines(
     min_size: int = MIN_SIZE,
     encoding: str | None = None,
     glob: str | None = None,
+    hours: list[str] | None = None,
 ) -> DataFrame:
-    """Lines of the chosen log files. Large files are split; rows of a split come in file order."""
+    """Lines of the chosen log files. Large files are split; rows of a split come in file order.
+
+    `hours` (yymmddhh, as in file names) may name the hours whose files are read.
+    """
     scans = [
         scan.select(
             F.col("_metadata.file_path").alias("file_path"),
@@ -44,7 +48,7 @@ def read_lines(
             (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("sole"),
             "value",
         )
-        for scan in log_text_scans(spark, dirs, subdirs, start, end, min_size, glob)
+        for scan in log_text_scans(spark, dirs, subdirs, start, end, min_size, glob, hours)
     ]
     if not scans:
         return spark.createDataFrame([], LINES_SCHEMA)
