@@ -119,7 +119,7 @@ DEFINITION = {
     "cpu_usage_percent": 50,
     "keys_result": [
         {"name": "Usr", "alias": "User"}, {"name": "timestamp", "alias": "Day", "aggregation": ["roundtime_1d"]}, {"name": "count", "aggregation": ["sum"]},
-        {"name": "Memory", "aggregation": ["sum", "mean", "median", "p95", "stddev", "percent", "intervals_20_3"]}, {"name": "each", "formula": "Memory / count"},
+        {"name": "Memory", "aggregation": ["sum", "mean", "median", "stddev"]}, {"name": "each", "formula": "Memory / count"},
     ],
     "keys_filters": [{"key": "duration", "operation": "ge", "value": 0}],
 }
