@@ -27,7 +27,8 @@ from logloom.llm.arrays import BYTE_SYMBOLS, Ranges
 from logloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
-PART_BYTES, SHARD_BYTES = 2 << 20, 2 << 20
+# A part of 512 kB takes some 55 MB of arrays in its task, a suffix array 70 bytes for each byte of its shard.
+PART_BYTES, SHARD_BYTES = 1 << 19, 1 << 19
 # No UTF-8 text holds this byte; it ends every piece of a shard.
 BETWEEN = 255
 PIECES = "cell long, key_id long, row long, start long, known boolean, piece binary"
