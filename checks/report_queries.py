@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.log_queries import EV, log_lines
 from checks.registry import query, rounded
 from logloom.plans import presets
-from logloom.plans.report import report, report_lines
+from logloom.plans.report import report, report_lines, reports_together
 from logloom.plans.store import ReportStore
 from logloom.sources.events import scratch_folder
 
@@ -197,9 +197,12 @@ def _(table):
     return log_report(table, spec, staged=False)
 
 
-@query("preset_top_calls", f"""
+TOP_CALLS_SQL = f"""
     {ev('CLICK')} SELECT "Context", {SPREAD}, CAST(count(*) AS BIGINT) AS "Count (sum)" FROM ev GROUP BY "Context"
-    ORDER BY sum(duration) DESC, "Context" LIMIT 50""")
+    ORDER BY sum(duration) DESC, "Context" LIMIT 50"""
+
+
+@query("preset_top_calls", TOP_CALLS_SQL)
 def _(table):
     return log_report(table, presets.over(presets.top_calls(), event_name="CLICK"))
 
@@ -224,19 +227,25 @@ def _(table):
     return log_report(table, presets.over(presets.memory_by_user(), event_name="PURCHASE"), staged=False)
 
 
-@query("preset_slow_sql", f"""
+SLOW_SQL_SQL = f"""
     {ev('ERROR')} SELECT "Sql" AS "Query", {rounded('sum(duration)')} AS "Duration, s (sum)",
         max(duration) AS "Duration, s (max)", {rounded('quantile_cont(duration, 0.95)')} AS "Duration, s (P95)",
         {rounded('sum(duration) / (SELECT sum(duration) FROM ev) * 100')} AS "Duration, s (% влияния)",
         CAST(count(*) AS BIGINT) AS "Count (sum)"
-    FROM ev GROUP BY "Sql" """)
+    FROM ev GROUP BY "Sql" """
+
+
+@query("preset_slow_sql", SLOW_SQL_SQL)
 def _(table):
     return log_report(table, presets.slow_sql("ERROR"))
 
 
-@query("preset_locks", f"""
+LOCKS_SQL = f"""
     {ev('SIGNUP')} SELECT "timestamp" AS "Time", processname AS "Process", filename AS "File", "Usr" AS "User",
-        "Context", duration AS "Duration, s" FROM ev""")
+        "Context", duration AS "Duration, s" FROM ev"""
+
+
+@query("preset_locks", LOCKS_SQL)
 def _(table):
     return log_report(table, presets.locks("SIGNUP"), staged=False)
 
@@ -247,3 +256,36 @@ def _(table):
     FROM ev GROUP BY 1""")
 def _(table):
     return log_report(table, presets.time_series("VIEW"), staged=False)
+
+
+# ---- several reports from one reading ------------------------------------------------------------
+
+
+def all_presets():
+    return {
+        "top_calls": presets.over(presets.top_calls(), event_name="CLICK"), "duration_by_context": presets.duration_by_context("VIEW"),
+        "memory_by_user": presets.over(presets.memory_by_user(), event_name="PURCHASE"), "slow_sql": presets.slow_sql("ERROR"),
+        "locks": presets.locks("SIGNUP"), "time_series": presets.time_series("VIEW"),
+    }
+
+
+def together(table, name):
+    """One of six reports that are made from one reading of the log."""
+    lines, specs = log_lines(table), all_presets()
+    made = reports_together(lines, list(specs.values()), scratch_folder(lines.sparkSession))
+    return dict(zip(specs, made))[name]
+
+
+@query("together_top_calls", TOP_CALLS_SQL)
+def _(table):
+    return together(table, "top_calls")
+
+
+@query("together_slow_sql", SLOW_SQL_SQL)
+def _(table):
+    return together(table, "slow_sql")
+
+
+@query("together_locks", LOCKS_SQL)
+def _(table):
+    return together(table, "locks")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, ge, gt, le, lt
@@ -103,15 +104,16 @@ def _compares(c: Column, kind: T.DataType, operation: str, value: Any) -> Column
     return F.lit(False)
 
 
-def predicate(f: Filter, schema: T.StructType, loose: bool = False) -> Column:
+def predicate(f: Filter, schema: T.StructType, loose: bool = False, at: Callable[[str], Column] = col) -> Column:
     """The filter as a condition; like false, NULL does not keep the row.
 
     Conditions on typed columns are bare comparisons, so that they reach the scan. `loose` is for
-    property text without a declared type: values that read as numbers count as numbers, others as text.
+    property text without a declared type: values that read as numbers count as numbers, others as text. `at` says where
+    a key's column is.
     """
     if f.key not in schema.names:
         return F.lit(f.operation == "empty")
-    c, kind = col(f.key), schema[f.key].dataType
+    c, kind = at(f.key), schema[f.key].dataType
     if isinstance(kind, T.VariantType) and f.operation in ("contains", "regex"):
         c, kind = mixed.plain_text(c), T.StringType()
     elif isinstance(kind, T.VariantType) and f.operation in ("filled", "empty"):
@@ -135,9 +137,11 @@ def predicate(f: Filter, schema: T.StructType, loose: bool = False) -> Column:
     return found & ~text.is_number(c) if loose else found
 
 
-def all_of(filters: list[Filter], schema: T.StructType, loose: list[str] | tuple[str, ...] = ()) -> Column:
+def all_of(
+    filters: list[Filter], schema: T.StructType, loose: list[str] | tuple[str, ...] = (), at: Callable[[str], Column] = col,
+) -> Column:
     """All filters at once; no filters keep everything."""
-    return reduce(and_, [predicate(f, schema, f.key in loose) for f in filters], F.lit(True))
+    return reduce(and_, [predicate(f, schema, f.key in loose, at) for f in filters], F.lit(True))
 
 
 def keep_rows(df: DataFrame, filters: list[Filter], loose: list[str] | tuple[str, ...] = ()) -> DataFrame:

@@ -19,6 +19,7 @@ from logloom.plans.spec import ReportSpec, SpecError, headers, parse_spec
 from logloom.sources.events import BUILT_IN, EventColumns, log_events, scratch_folder
 from logloom.sources.files import list_skipped_files
 from logloom.sources.lines import read_lines
+from logloom.sources.shared import Wanted, events_of_all, whole_period
 from logloom.sources.watch import Watch
 
 log = logging.getLogger(__name__)
@@ -159,6 +160,41 @@ def run_report(
     return report_lines(lines, spec, in_file_order=True, encoding=encoding, stage=stage_at, watch=watch)
 
 
+def reports_together(
+    lines: DataFrame, specs: list[ReportSpec | dict[str, Any]], stage: str, in_file_order: bool = False, encoding: str | None = "auto",
+) -> list[DataFrame]:
+    """Several reports over the same log lines, which are read once; `report_lines` gives each of them alone."""
+    parsed = [parse_spec(s, from_files=False) if isinstance(s, dict) else s for s in specs]
+    wants = [Wanted(event_columns(s), s.event_name, s.start, s.end) for s in parsed]
+    made = []
+    for spec, want, events in zip(parsed, wants, events_of_all(lines, wants, stage, in_file_order, encoding)):
+        loose = tuple(k for k in want.columns.properties if k not in want.columns.types)
+        made.append(report(events, spec, filtered=True, loose=loose))
+    return made
+
+
+def run_reports(
+    spark: SparkSession, definitions: list[dict[str, Any]], encoding: str | None = "auto", folder: str | None = None,
+) -> list[DataFrame]:
+    """Several reports over log files, in the order of their specifications.
+
+    Reports over the same directories are made from one reading of the files in all their periods; their events are kept as Parquet below `folder`, or a new one
+    under the cluster's shared folder.
+    """
+    specs = [parse_spec(d) for d in definitions]
+    groups: dict[tuple, list[int]] = {}
+    for i, s in enumerate(specs):
+        groups.setdefault((s.base_directories, s.base_subdirectories), []).append(i)
+    made: dict[int, DataFrame] = {}
+    folder = folder or scratch_folder(spark)
+    for n, ((directories, subdirectories), members) in enumerate(groups.items()):
+        mine = [specs[i] for i in members]
+        start, end = whole_period([Wanted(event_columns(s), s.event_name, s.start, s.end) for s in mine])
+        lines = read_lines(spark, list(directories), list(subdirectories or ()), start, end)
+        made.update(zip(members, reports_together(lines, mine, f"{folder}/{n}", in_file_order=True, encoding=encoding)))
+    return [made[i] for i in range(len(specs))]
+
+
 def skipped(spark: SparkSession, spec: ReportSpec | dict[str, Any]) -> DataFrame:
     """`(path, length, reason)` of the log files in the report's directories that it does not read; nothing is opened for this."""
     if isinstance(spec, dict):

@@ -34,6 +34,29 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _target(definition: dict[str, Any]) -> str:
+    """Where a specification wants its report."""
+    stem, ending = os.path.splitext(definition.get("output_file") or "report")
+    if ending.lower() not in (".xlsx", ".csv", ".parquet", ".json"):
+        stem += ending
+    return f"{str(definition.get('output_directory') or '.').rstrip('/')}/{stem}"
+
+
+def write_reports(spark: SparkSession, definitions: list[dict[str, Any]], fmt: str = "csv", encoding: str | None = "auto") -> list[str]:
+    """Run several reports over log files, reading these once, and write each to its place."""
+    from logloom.plans.report import run_reports
+    from logloom.sources.events import scratch_folder
+
+    paths = [_target(d) for d in definitions]
+    if len(set(paths)) < len(paths):
+        raise ValueError(f"several reports would be written to the same place: {paths}")
+    folder = scratch_folder(spark)
+    try:
+        return [write_table(made, path, fmt) for made, path in zip(run_reports(spark, definitions, encoding, folder), paths)]
+    finally:
+        drop_folder(spark, folder)
+
+
 def write_report(
     spark: SparkSession, definition: dict[str, Any], fmt: str = "csv", encoding: str | None = "auto", watch: Watch | None = None,
 ) -> str:
@@ -44,11 +67,7 @@ def write_report(
     from logloom.plans.report import run_report
     from logloom.sources.events import scratch_folder
 
-    stem, ending = os.path.splitext(definition.get("output_file") or "report")
-    if ending.lower() not in (".xlsx", ".csv", ".parquet", ".json"):
-        stem += ending
-    path = f"{str(definition.get('output_directory') or '.').rstrip('/')}/{stem}"
-    folder = scratch_folder(spark)
+    path, folder = _target(definition), scratch_folder(spark)
     try:
         return write_table(run_report(spark, definition, encoding=encoding, folder=folder, watch=watch), path, fmt)
     finally:

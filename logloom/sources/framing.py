@@ -13,6 +13,8 @@ before its first start (HEAD) and its last event (TAIL). These few rows are put
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +43,9 @@ def is_start(line: Column) -> Column:
 
 
 def is_wanted(
-    file_path: Column, line: Column, event_name: str | None, start: datetime | None, end: datetime | None
+    file_path: Column, line: Column, event_name: str | tuple[str, ...] | None, start: datetime | None, end: datetime | None
 ) -> Column:
-    """For a start line: right event type, valid time, time in the period (both ends included)."""
+    """For a start line: right event type (or one of several), valid time, time in the period (both ends included)."""
     at = event_time(F.substring_index(file_path, "/", -1), line)
     keep = at.isNotNull()
     if start is not None:
@@ -55,9 +57,10 @@ def is_wanted(
     return F.coalesce(keep, F.lit(False))
 
 
-def has_name(line: Column, event_name: str) -> Column:
-    """Whether an event's type, which stands between the first two commas, is this one."""
-    return F.instr(line, f",{event_name},") == F.instr(line, ",")
+def has_name(line: Column, event_name: str | tuple[str, ...]) -> Column:
+    """Whether an event's type, which stands between the first two commas, is this one, or one of these."""
+    names = (event_name,) if isinstance(event_name, str) else event_name
+    return reduce(or_, [F.instr(line, f",{name},") == F.instr(line, ",") for name in names])
 
 
 def is_untimed(file_path: Column, line: Column, event_name: str | None) -> Column:
@@ -178,7 +181,7 @@ def _run_grouper(count_lost: bool = False):
 
 def event_fragments(
     lines: DataFrame,
-    event_name: str | None = None,
+    event_name: str | tuple[str, ...] | None = None,
     start: datetime | None = None,
     end: datetime | None = None,
     in_file_order: bool = False,
