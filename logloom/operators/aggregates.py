@@ -7,6 +7,7 @@ Output columns: `sum` keeps the column's name, the others add `_min`, `_max`, `_
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from logloom.functions.columns import col, quoted
 from logloom.functions.times import floor_time, parse_bucket
 from logloom.operators.histograms import bucket_counts, histograms
-from logloom.operators.percentiles import percentiles_of, same_keys, value_counts
+from logloom.operators.percentiles import percentiles_of, same_keys, select_by_digits, value_counts
 
 # Aggregate name -> (suffix of the internal column, suffix of the report header).
 CATALOGUE = {
@@ -144,11 +145,15 @@ class Asked:
         return [(c, n) for c, names in self.names.items() for n in names if intervals_of(n)]
 
 
-def aggregate(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def aggregate(df: DataFrame, keys: list[str], measures: list[Measure], keep: Keep | None = None) -> DataFrame:
     """Group by `keys` (NULL is a group) and compute all measures.
 
     One partial/final aggregation serves all measures but percentiles, which are counted together on
-    their own narrow projection and joined to the groups, as are histograms of many buckets.
+    their own narrow projection and joined to the groups, as are histograms of many buckets. The result is lazy, unless `keep`
+    is given, which writes a table and reads it back: percentiles are then selected with a bound on what one task orders.
     """
     asked = Asked.of(measures)
     wide = asked.intervals if sum(intervals_of(n)[1] for _, n in asked.intervals) > NARROW else []
@@ -160,11 +165,12 @@ def aggregate(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFr
     result = df.groupBy(*groups).agg(*expressions) if expressions else df.select(*groups).distinct()
     counted = value_counts(df, keys, list(asked.percentiles)) if asked.percentiles else None
     buckets = bucket_counts(df, keys, [(c, *intervals_of(n)) for c, n in wide]) if wide else None
-    return completed(result, keys, asked, counted, buckets, wide)
+    return completed(result, keys, asked, counted, buckets, wide, keep)
 
 
 def completed(
     result: DataFrame, keys: list[str], asked: Asked, counted: DataFrame | None, buckets: DataFrame | None, wide: list[tuple[str, str]],
+    keep: Keep | None = None,
 ) -> DataFrame:
     """Groups with their shares of the total, and the percentiles and histograms that `counted` and `buckets` give."""
     grouped = result
@@ -174,7 +180,7 @@ def completed(
         share = F.round(F.try_divide(col(total), everything) * 100, 2)
         result = result.withColumn(column + CATALOGUE["percent"][0], share)
     if counted is not None:
-        found = percentiles_of(counted, keys, asked.percentiles)
+        found = select_by_digits(counted, keys, asked.percentiles, keep) if keep else percentiles_of(counted, keys, asked.percentiles)
         names = [name for chosen in asked.percentiles.values() for name in chosen]
         result = (
             result.alias("l")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from logloom.functions import mixed, text
 from logloom.functions.columns import col
 from logloom.functions.times import nearest_time
-from logloom.operators.aggregates import Measure, aggregate, round_times
+from logloom.operators.aggregates import Keep, Measure, aggregate, round_times
 from logloom.operators.filters import keep_rows
 from logloom.operators.formulas import add_formulas
 from logloom.plans.spec import ReportSpec, SpecError, headers, parse_spec
@@ -93,10 +94,24 @@ def lay_out(df: DataFrame, spec: ReportSpec) -> DataFrame:
     return df.select(*[col(c).alias(header) for c, header in shown])
 
 
-def report(df: DataFrame, spec: ReportSpec | dict[str, Any], filtered: bool = False, loose: tuple[str, ...] = ()) -> DataFrame:
+def keeper(spark: SparkSession, folder: str) -> Keep:
+    """Writes tables below a folder and reads them back."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+def report(
+    df: DataFrame, spec: ReportSpec | dict[str, Any], filtered: bool = False, loose: tuple[str, ...] = (), keep: Keep | None = None,
+) -> DataFrame:
     """The report over any DataFrame that has the columns the specification names.
 
-    `filtered` says that the filters have been applied already, `loose` names untyped property text.
+    `filtered` says that the filters have been applied already, `loose` names untyped property text. The result is lazy, unless
+    `keep` may write intermediate tables (see `aggregate`).
     """
     if isinstance(spec, dict):
         spec = parse_spec(spec, from_files=False)
@@ -105,7 +120,7 @@ def report(df: DataFrame, spec: ReportSpec | dict[str, Any], filtered: bool = Fa
     df = apply_times(df, spec)
     if spec.grouped:
         df = settle_mixed(df, spec)
-        df = aggregate(df, list(spec.group_by), spec.measures)
+        df = aggregate(df, list(spec.group_by), spec.measures, keep)
     return finish(df, spec, loose)
 
 
@@ -133,7 +148,8 @@ def report_lines(
         lines, wanted, spec.event_name, spec.start, spec.end, in_file_order, encoding, stage, watch
     )
     loose = tuple(k for k in wanted.properties if k not in wanted.types)
-    return report(events, spec, filtered=True, loose=loose)
+    keep = keeper(lines.sparkSession, f"{stage}/_kept") if stage else None
+    return report(events, spec, filtered=True, loose=loose, keep=keep)
 
 
 def run_report(
@@ -169,7 +185,7 @@ def reports_together(
     made = []
     for spec, want, events in zip(parsed, wants, events_of_all(lines, wants, stage, in_file_order, encoding)):
         loose = tuple(k for k in want.columns.properties if k not in want.columns.types)
-        made.append(report(events, spec, filtered=True, loose=loose))
+        made.append(report(events, spec, filtered=True, loose=loose, keep=keeper(lines.sparkSession, f"{stage}/_kept")))
     return made
 
 

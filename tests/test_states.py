@@ -216,3 +216,53 @@ def test_another_report_has_another_store(spark, tree):
     assert rows(ReportStore(spark, shown, path).report()) == rows(run_report(spark, shown))
     with pytest.raises(SpecError, match="grouped"):
         ReportStore(spark, {**definition, "keys_aggregate": ""}, path)
+
+
+# ---- percentiles with a bound --------------------------------------------------------------------
+
+
+def test_order_keys(spark):
+    import struct
+
+    from logloom.operators.percentiles import order_key
+
+    rnd = random.Random(1)
+    values = [struct.unpack("<d", rnd.randbytes(8))[0] for _ in range(3000)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, float("inf"), -float("inf"), float("nan"), 1.7976931348623157e308]
+    values += [x for e in range(-1000, 1024) for x in (2.0**e, 2.0**e * (1 - 2**-53))]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k")).collect():
+        bits = struct.unpack("<Q", struct.pack("<d", abs(r["v"])))[0]
+        assert r["k"] == (2047 * 2**52 + 1 if math.isnan(r["v"]) else -bits if r["v"] < 0 else bits)
+
+
+def test_digits_give_the_same_percentiles(spark, tmp_path):
+    from logloom.operators.percentiles import exact_percentiles, select_by_digits, value_counts
+    from logloom.plans.report import keeper
+
+    df = numbers(spark).withColumn("v", F.when(F.col("k") == "b", F.lit(1000.0) + F.col("w") % 997 * 1e-9).otherwise(F.col("v")))
+    wanted = {"v": {"m": 0.5, "p": 0.95, "low": 0.0, "high": 1.0}, "w": {"wm": 0.5}}
+    want = comparable(exact_percentiles(df, ["k"], wanted).collect(), ["k"])
+    for most in (1, 50, 1 << 16):
+        made = select_by_digits(value_counts(df, ["k"], list(wanted)), ["k"], wanted, keeper(spark, str(tmp_path / str(most))), most)
+        assert comparable(made.collect(), ["k"]) == want
+
+
+def test_crowded_range_is_not_ordered_by_one_task(spark, tmp_path):
+    """A million different values within a millionth of each other: ranges with more than the bound are opened digit by digit."""
+    from logloom.operators.percentiles import MOST_ORDERED, select_by_digits, value_counts
+    from logloom.plans.report import keeper
+
+    n, tables = 1_000_000, []
+    df = spark.range(n).select(F.lit("a").alias("k"), (F.lit(1000.0) + F.col("id") * 1e-9).alias("v"))
+    store = keeper(spark, str(tmp_path))
+
+    def keep(table):
+        tables.append(store(table))
+        return tables[-1]
+
+    counts = value_counts(df, ["k"], ["v"])
+    row = select_by_digits(counts, ["k"], {"v": {"m": 0.5, "p": 0.95}}, keep).first()
+    values = [1000.0 + i * 1e-9 for i in range(n)]
+    assert (row["m"], row["p"]) == ((values[499999] + values[500000]) / 2, pytest.approx(values[949999] * 0.95 + values[950000] * 0.05, rel=1e-15))
+    first, *rest = tables[1:]
+    assert first.agg(F.max("__d")).first()[0] > MOST_ORDERED >= rest[-1].agg(F.max("__d")).first()[0]
