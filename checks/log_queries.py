@@ -145,6 +145,21 @@ def _(table):
     return skipped_files(files, ["/logs"], ["full"], datetime(2024, 1, 5, 12, 30), datetime(2024, 1, 20, 18, 59, 59), min_size=300)
 
 
+@query("src_decode_by_file", """
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Рё' WHEN 1 THEN 'Пользователь ' || user_id ELSE 'no ' || event_id END AS value FROM events""")
+def _(table):
+    """Files in windows-1251 and in UTF-8; short lines of the first kind are valid in both."""
+    # The characters of the sample text that windows-1251 has as single bytes, as latin-1
+    wide = "РёПользватеь"
+    narrow = wide.encode("cp1251").decode("latin-1")
+    i = F.col("event_id")
+    value = F.when(i % 3 == 0, "Рё").when(i % 3 == 1, F.concat(F.lit("Пользователь "), F.col("user_id"))).otherwise(F.concat(F.lit("no "), i))
+    cp1251 = F.encode(F.translate(value, wide, narrow), "ISO-8859-1").cast("string")
+    path = F.concat(F.lit("/logs/"), F.col("user_id") % 10, F.lit(".log"))
+    lines = table("events").select("event_id", path.alias("file_path"), F.when(F.col("user_id") % 2 == 0, cp1251).otherwise(value).alias("value"))
+    return decode_lines(lines, "file").select("event_id", "value")
+
+
 # ---- events --------------------------------------------------------------------------------------
 
 

@@ -110,19 +110,31 @@ def from_cp1251(c: Column) -> Column:
     return F.translate(latin, _LATIN1_UPPER, _CP1251_UPPER)
 
 
-def decode_text(c: Column, encoding: str = "auto") -> Column:
+def utf8_evidence(c: Column) -> tuple[Column, Column]:
+    """Of undecoded bytes: how many characters lie beyond ASCII if read as UTF-8, and how many of these are broken."""
+    repaired = F.make_valid_utf8(c)
+    return F.length(F.regexp_replace(repaired, r"[\x00-\x7F]+", "")), F.length(F.regexp_replace(repaired, "[^\ufffd]+", ""))
+
+
+def is_cp1251(wide: Column, broken: Column) -> Column:
+    """What evidence says: most of what lies beyond ASCII is broken as UTF-8."""
+    return broken * 2 > wide
+
+
+def decode_text(c: Column, encoding: str | Column = "auto") -> Column:
     """Turn a string column that holds undecoded bytes into valid text.
 
     `auto` decides line by line: valid UTF-8 stays; a line whose non-ASCII part is mostly broken as
-    UTF-8 is read as windows-1251; otherwise its few broken bytes become U+FFFD.
+    UTF-8 is read as windows-1251; otherwise its few broken bytes become U+FFFD. A column tells for
+    each row whether it is windows-1251.
     """
     repaired = F.make_valid_utf8(c)
+    if isinstance(encoding, Column):
+        return F.when(encoding, from_cp1251(c)).otherwise(repaired)
     if encoding == "utf-8":
         return repaired
     if encoding == "cp1251":
         return from_cp1251(c)
     if encoding != "auto":
-        raise ValueError(f"unknown encoding {encoding!r}: use auto, utf-8 or cp1251")
-    non_ascii = F.length(F.regexp_replace(repaired, r"[\x00-\x7F]+", ""))
-    broken = F.length(F.regexp_replace(repaired, "[^\ufffd]+", ""))
-    return F.when(F.is_valid_utf8(c), c).when(broken * 2 > non_ascii, from_cp1251(c)).otherwise(repaired)
+        raise ValueError(f"unknown encoding {encoding!r}: use auto, utf-8 or cp1251, or file for logs")
+    return F.when(F.is_valid_utf8(c), c).when(is_cp1251(*utf8_evidence(c)), from_cp1251(c)).otherwise(repaired)

@@ -16,7 +16,8 @@ from logloom.functions import mixed, regex, text
 from logloom.functions.columns import col, with_computed
 from logloom.functions.times import event_time
 from logloom.operators.filters import Filter, all_of
-from logloom.sources.framing import WHOLE, event_fragments, frame_events, raw_text, stitch, unowned_lines
+from logloom.sources.encodings import BY_FILE, file_votes
+from logloom.sources.framing import WHOLE, event_fragments, frame_events, stitch, unowned_lines, with_raw
 from logloom.sources.watch import Watch
 
 # Columns every event has.
@@ -222,6 +223,13 @@ def _drop_quietly(jvm, configuration, folder: str) -> None:
         pass
 
 
+def stored_votes(lines: DataFrame, stage: str) -> DataFrame:
+    """The encodings of all files, from a reading of their own that is done once and kept beside the events."""
+    votes, path = file_votes(lines), f"{stage}/_votes"
+    votes.write.mode("overwrite").parquet(path)
+    return lines.sparkSession.read.schema(votes.schema).parquet(path)
+
+
 def log_events(
     lines: DataFrame,
     columns: EventColumns,
@@ -241,6 +249,7 @@ def log_events(
     Parquet, evened out into files of a good size, and the result reads them back, column by column;
     the text of border fragments is read only to put those together. A `watch` counts what is left out; its counts are
     complete when this returns. Files are then as the scan gives them, since a shuffle could count a repeated task twice.
+    With the encoding `file` each file has one, told from all its lines by a reading that comes before.
     """
     if stage is None:
         if watch is not None:
@@ -249,19 +258,19 @@ def log_events(
         return parse_events(framed, columns)
 
     spark = lines.sparkSession
-    raw = raw_text(F.col("lines"), encoding)
+    votes = stored_votes(lines, stage) if encoding == BY_FILE else None
     fragments = event_fragments(lines, event_name, start, end, in_file_order, watch)
     rim = F.when(F.col("role") != WHOLE, F.struct(*fragments.columns))
     marked = fragments.withColumn("__rim", rim)
-    once = with_computed(marked, "raw", F.when(F.col("role") == WHOLE, raw), ["file_path", "__rim"])
+    once = with_raw(marked, ["file_path", "__rim"], encoding, votes, only=F.col("role") == WHOLE)
     rows = parse_events(once, columns, aside="__rim", watch=watch)
     # the rows hold extracted columns of wanted events only, so evening them out is cheap beside the scan
     flagged = rows.withColumn("__crosses", F.col("__rim").isNotNull())
-    place = stage if watch is None else f"{stage}/inside"
+    place = stage if watch is None and votes is None else f"{stage}/inside"
     (flagged.hint("rebalance") if watch is None else flagged).write.mode("overwrite").parquet(place)
     saved = spark.read.schema(flagged.schema).parquet(place)
     rims = saved.where("__crosses").select("__rim.*")
-    crossing = parse_events(with_computed(stitch(rims), "raw", raw, ["file_path"]), columns, watch=watch)
+    crossing = parse_events(with_raw(stitch(rims), ["file_path"], encoding, votes), columns, watch=watch)
     if watch is not None:
         watch.add("lost_lines", unowned_lines(rims))
         crossing.write.mode("overwrite").parquet(f"{stage}/crossing")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from logloom.functions.columns import with_computed
 from logloom.functions.text import NEWLINE_MARK, clean_line, decode_text
 from logloom.functions.times import event_time, ntz
+from logloom.sources.encodings import BY_FILE, file_votes, with_votes
 from logloom.sources.watch import Watch
 
 # Fixed value: how the first line of an event begins (minute, second, fraction, duration).
@@ -252,15 +253,23 @@ def stitch(rims: DataFrame) -> DataFrame:
     )
 
 
-def raw_text(lines: Column, encoding: str | None = "auto") -> Column:
+def raw_text(lines: Column, encoding: str | Column | None = "auto") -> Column:
     """One string from the undecoded lines of an event: each decoded and cleaned, then joined by marks."""
 
     def one(line: Column) -> Column:
-        return clean_line(decode_text(line, encoding) if encoding else line)
+        return clean_line(line if encoding is None else decode_text(line, encoding))
 
     return F.array_join(F.transform(lines, one), NEWLINE_MARK)
 
 
+def with_raw(df: DataFrame, keep: list[str], encoding: str | None = "auto", votes: DataFrame | None = None, only: Column | None = None) -> DataFrame:
+    """`raw`, the text of each event, beside the columns to `keep`; decoded as `votes` say, if there are any, and `only` where it is wanted."""
+    if votes is not None:
+        df = with_votes(df, votes)
+    raw = raw_text(F.col("lines"), encoding if votes is None else F.col("__cp1251"))
+    return with_computed(df, "raw", raw if only is None else F.when(only, raw), keep)
+
+
 def frame_events(
     lines: DataFrame,
     event_name: str | None = None,
@@ -276,7 +285,9 @@ def frame_events(
     rims = event_fragments(cut, event_name, start, end, in_file_order).where(F.col("role") != WHOLE)
     identity = ["file_path", "block", "seq"]
 
+    votes = file_votes(lines) if encoding == BY_FILE else None
+
     def finish(df: DataFrame) -> DataFrame:
-        return with_computed(df, "raw", raw_text(F.col("lines"), encoding), identity)
+        return with_raw(df, identity, encoding, votes)
 
     return finish(whole).unionByName(finish(stitch(rims)))

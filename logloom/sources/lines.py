@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.text import decode_text
+from logloom.sources.encodings import BY_FILE, file_votes, with_votes
 from logloom.sources.files import MIN_SIZE, log_text_scans
 
 LINES_SCHEMA = "file_path string, block bigint, pos bigint, sole boolean, value string"
 
 
 def decode_lines(lines: DataFrame, encoding: str = "auto") -> DataFrame:
-    """Decode the bytes in `value`."""
+    """Decode the bytes in `value`; with the encoding `file`, each file's by the vote of all its lines."""
+    if encoding == BY_FILE:
+        voted = with_votes(lines, file_votes(lines))
+        return voted.withColumn("value", decode_text(F.col("value"), F.col("__cp1251"))).select(*lines.columns)
     return lines.withColumn("value", decode_text(F.col("value"), encoding))
 
 

@@ -21,9 +21,10 @@ from logloom.functions.columns import col, with_computed
 from logloom.functions.times import event_time, ntz
 from logloom.operators.filters import all_of
 from logloom.sources.events import (
-    BUILT_IN, DERIVED, EventColumns, built_in_columns, has_properties, is_event_text, key_values, property_pattern, property_value, typed,
+    BUILT_IN, DERIVED, EventColumns, built_in_columns, has_properties, is_event_text, key_values, property_pattern, property_value, stored_votes, typed,
 )
-from logloom.sources.framing import WHOLE, event_fragments, raw_text, stitch
+from logloom.sources.encodings import BY_FILE
+from logloom.sources.framing import WHOLE, event_fragments, stitch, with_raw
 
 # The folder of the fragments of events that cross a border between splits.
 RIMS = -1
@@ -114,14 +115,14 @@ def events_of_all(
     """For each of `wants` the events that `log_events` gives, from one pass over the lines that keeps them in `stage`."""
     start, end = whole_period(wants)
     fragments = event_fragments(lines, all_names(wants), start, end, in_file_order)
-    raw = raw_text(F.col("lines"), encoding)
+    votes = stored_votes(lines, stage) if encoding == BY_FILE else None
     rim = F.when(F.col("role") != WHOLE, F.struct(*fragments.columns))
-    once = with_computed(fragments.withColumn("__rim", rim), "raw", F.when(F.col("role") == WHOLE, raw), ["file_path", "__rim"])
+    once = with_raw(fragments.withColumn("__rim", rim), ["file_path", "__rim"], encoding, votes, only=F.col("role") == WHOLE)
     rows, spark = _parsed(once, wants, "__rim"), lines.sparkSession
-    rows.hint("rebalance", "__report").write.partitionBy("__report").mode("overwrite").parquet(stage)
-    saved = spark.read.schema(rows.schema).parquet(stage)
+    rows.hint("rebalance", "__report").write.partitionBy("__report").mode("overwrite").parquet(f"{stage}/events")
+    saved = spark.read.schema(rows.schema).parquet(f"{stage}/events")
     rims = saved.where(F.col("__report") == RIMS).select("__rim.*")
-    crossing = _parsed(with_computed(stitch(rims), "raw", raw, ["file_path"]), wants)
+    crossing = _parsed(with_raw(stitch(rims), ["file_path"], encoding, votes), wants)
     made = []
     for i, w in enumerate(wants):
         own = [F.col(f"__e{i}").getField(n).alias(n) for n in [*w.columns.properties, *w.columns.derived]]
