@@ -11,6 +11,7 @@ from checks.registry import query, rounded
 from logloom.plans import presets
 from logloom.plans.report import report, report_lines, reports_together
 from logloom.plans.store import ReportStore
+from logloom.sinks import read_table, write_table
 from logloom.sources.events import scratch_folder
 
 # ---- layout --------------------------------------------------------------------------------------
@@ -258,6 +259,22 @@ def _(table):
     return log_report(table, presets.time_series("VIEW"), staged=False)
 
 
+# ---- sinks ---------------------------------------------------------------------------------------
+
+
+@query("snk_round_trip", " UNION ALL ".join(
+    f"""SELECT '{fmt}' AS format, doc_id, text, '  "' || coalesce(lang, '') || '", ' || chr(10) || ' x ' AS marked FROM documents""" for fmt in ("csv", "json", "parquet")))
+def _(table):
+    """Texts with line breaks, quotes, commas and outer spaces, written in each format over an earlier table and read back."""
+    docs = table("documents").select("doc_id", "text", F.concat(F.lit('  "'), F.coalesce("lang", F.lit("")), F.lit('", \n x ')).alias("marked"))
+    spark, back = docs.sparkSession, None
+    for fmt in ("csv", "json", "parquet"):
+        path = write_table(docs.limit(1), scratch_folder(spark) + f".{fmt}", fmt)
+        made = read_table(spark, write_table(docs, path, fmt), fmt, docs.schema).select(F.lit(fmt).alias("format"), *docs.columns)
+        back = made if back is None else back.unionByName(made)
+    return back
+
+
 # ---- several reports from one reading ------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,19 +16,79 @@ from logloom.sources.watch import Watch
 FORMATS = ("csv", "parquet", "json")
 
 
+# How CSV tables are written and read: quotes are doubled, and nothing is trimmed.
+CSV = {"header": True, "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
-    """Write a report as a Spark table folder; CSV has a header line, quotes multi-line text and shows values of mixed kind as text."""
+    """Write a report as a Spark table folder; CSV has a header line, quotes multi-line text and shows values of mixed kind as text.
+
+    With `overwrite` the new table is written beside the old one and takes its place by a rename once it is complete; if the
+    job fails, the old table stays as it was. (Where renaming copies, as in object stores, readers may see that happen.)
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown report format {fmt!r}: use one of {FORMATS}")
     if fmt == "csv":
         df = df.select(*[mixed.shown(col(f.name)).alias(f.name) if isinstance(f.dataType, T.VariantType) else col(f.name) for f in df.schema])
-    writer = df.write.mode(mode).format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"').option("encoding", "UTF-8")
-    writer.save(path)
+    options = CSV if fmt == "csv" else {}
+    if mode != "overwrite":
+        df.write.mode(mode).format(fmt).options(**options).save(path)
+        return path
+    place = _Place(df.sparkSession, path)
+    place.put_back()
+    try:
+        df.write.format(fmt).options(**options).save(place.new)
+    except Exception:
+        drop_folder(df.sparkSession, place.new)
+        raise
+    place.replace()
     return path
 
 
+def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None) -> DataFrame:
+    """A table that `write_table` has written; without a `schema` the columns of CSV are text. CSV gives empty text back as NULL."""
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.options(**CSV, multiLine=True)
+    return (reader if schema is None else reader.schema(schema)).load(path)
+
+
+class _Place:
+    """Where a table lies, and hidden names beside it for the one that is being written and the one that it replaces."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        parent, _, name = path.rstrip("/").rpartition("/")
+        beside = f"{parent}/_{name}" if parent or path.startswith("/") else f"_{name}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.table, self.new, self.old = path.rstrip("/"), f"{beside}.{uuid.uuid4().hex}.new", f"{beside}.old"
+
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def _move(self, source: str, target: str) -> None:
+        if not self._fs.rename(self._path(source), self._path(target)):
+            raise OSError(f"cannot rename {source} to {target}")
+
+    def put_back(self) -> None:
+        """Undo a replacement that was broken off between its two renames."""
+        if self._exists(self.old) and not self._exists(self.table):
+            self._move(self.old, self.table)
+
+    def replace(self) -> None:
+        """The new table takes the place of the old one."""
+        if self._exists(self.table):
+            self._fs.delete(self._path(self.old), True)
+            self._move(self.table, self.old)
+        try:
+            self._move(self.new, self.table)
+        except Exception:
+            self.put_back()
+            self._fs.delete(self._path(self.new), True)
+            raise
+        self._fs.delete(self._path(self.old), True)
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder this package has made."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
