@@ -17,7 +17,7 @@ from logloom.operators.aggregates import Keep, Measure, aggregate, round_times
 from logloom.operators.filters import keep_rows
 from logloom.operators.formulas import add_formulas
 from logloom.plans.spec import ReportSpec, SpecError, headers, parse_spec
-from logloom.sources.events import BUILT_IN, EventColumns, log_events, scratch_folder
+from logloom.sources.events import BUILT_IN, PLACE, EventColumns, log_events, scratch_folder
 from logloom.sources.files import list_skipped_files
 from logloom.sources.lines import read_lines
 from logloom.sources.shared import Wanted, events_of_all, whole_period
@@ -31,6 +31,9 @@ GROUPED_DIGITS = 2
 # Most names of skipped files that go into one warning.
 NAMED_FILES = 20
 
+# Most staged files that a listing names when it reads back the rows it shows; beyond that it looks into all.
+NAMED_PATHS = 1000
+
 
 def event_columns(spec: ReportSpec) -> EventColumns:
     """What the report needs from the log; keys used only to filter or group are not required."""
@@ -136,6 +139,23 @@ def finish(df: DataFrame, spec: ReportSpec, loose: tuple[str, ...] = ()) -> Data
     return lay_out(df, spec)
 
 
+def first_rows(events: DataFrame, spec: ReportSpec, loose: tuple[str, ...], keep: Keep) -> DataFrame:
+    """Those of the staged events that a sorted, limited listing shows.
+
+    They are found by their sort keys and places alone; their texts are then read from the files that hold them.
+    """
+    shaped = add_formulas(apply_times(events, spec), spec.formulas)
+    by = [name for name, _ in spec.sort]
+    if not set(by) <= set(shaped.columns):
+        return events.drop(*PLACE)  # the report tells what is wrong
+    places = sort_rows(shaped.select(*[col(c) for c in dict.fromkeys([*by, *PLACE])]), spec.sort, loose).limit(spec.limit).select(*PLACE)
+    chosen = keep(places)
+    files = [r[0] for r in chosen.select(PLACE[0]).distinct().limit(NAMED_PATHS + 1).collect()]
+    if len(files) <= NAMED_PATHS:
+        events = events.where(F.col(PLACE[0]).isin(files))
+    return events.join(chosen, list(PLACE), "left_semi").drop(*PLACE)
+
+
 def report_lines(
     lines: DataFrame, spec: ReportSpec | dict[str, Any], in_file_order: bool = False,
     encoding: str | None = "auto", stage: str | None = None, watch: Watch | None = None,
@@ -144,11 +164,14 @@ def report_lines(
     if isinstance(spec, dict):
         spec = parse_spec(spec, from_files=False)
     wanted = event_columns(spec)
+    late = bool(stage) and not spec.grouped and spec.limit > 0 and bool(spec.sort)
     events = log_events(
-        lines, wanted, spec.event_name, spec.start, spec.end, in_file_order, encoding, stage, watch
+        lines, wanted, spec.event_name, spec.start, spec.end, in_file_order, encoding, stage, watch, located=late
     )
     loose = tuple(k for k in wanted.properties if k not in wanted.types)
     keep = keeper(lines.sparkSession, f"{stage}/_kept") if stage else None
+    if late:
+        events = first_rows(events, spec, loose, keep)
     return report(events, spec, filtered=True, loose=loose, keep=keep)
 
 

@@ -11,6 +11,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logloom.functions import mixed, regex, text
 from logloom.functions.columns import col, with_computed
@@ -29,6 +30,9 @@ DERIVED = {"lastcontext": "Context"}
 # Fixed value: the property that holds SQL text.
 SQL_PROPERTY = "Sql"
 
+# The place of a staged row: its file, and its number in it.
+PLACE = ("__file", "__row")
+
 TYPES = ("string", "double", "bigint", "mixed")
 
 
@@ -230,6 +234,11 @@ def stored_votes(lines: DataFrame, stage: str) -> DataFrame:
     return lines.sparkSession.read.schema(votes.schema).parquet(path)
 
 
+def _read_back(spark: SparkSession, schema: StructType, path: str, located: bool) -> DataFrame:
+    df = spark.read.schema(schema).parquet(path)
+    return df.withColumns(dict(zip(PLACE, (F.col("_metadata.file_path"), F.col("_metadata.row_index"))))) if located else df
+
+
 def log_events(
     lines: DataFrame,
     columns: EventColumns,
@@ -240,6 +249,7 @@ def log_events(
     encoding: str | None = "auto",
     stage: str | None = None,
     watch: Watch | None = None,
+    located: bool = False,
 ) -> DataFrame:
     """Event rows from log lines.
 
@@ -249,7 +259,7 @@ def log_events(
     Parquet, evened out into files of a good size, and the result reads them back, column by column;
     the text of border fragments is read only to put those together. A `watch` counts what is left out; its counts are
     complete when this returns. Files are then as the scan gives them, since a shuffle could count a repeated task twice.
-    With the encoding `file` each file has one, told from all its lines by a reading that comes before.
+    `located` adds the place of each row in the staged files (PLACE). With the encoding `file` each file has one, told from all its lines by a reading that comes before.
     """
     if stage is None:
         if watch is not None:
@@ -266,13 +276,14 @@ def log_events(
     rows = parse_events(once, columns, aside="__rim", watch=watch)
     # the rows hold extracted columns of wanted events only, so evening them out is cheap beside the scan
     flagged = rows.withColumn("__crosses", F.col("__rim").isNotNull())
-    place = stage if watch is None and votes is None else f"{stage}/inside"
+    place = stage if watch is None and votes is None and not located else f"{stage}/inside"
     (flagged.hint("rebalance") if watch is None else flagged).write.mode("overwrite").parquet(place)
-    saved = spark.read.schema(flagged.schema).parquet(place)
+    saved = _read_back(spark, flagged.schema, place, located)
     rims = saved.where("__crosses").select("__rim.*")
     crossing = parse_events(with_raw(stitch(rims), ["file_path"], encoding, votes), columns, watch=watch)
     if watch is not None:
         watch.add("lost_lines", unowned_lines(rims))
+    if watch is not None or located:
         crossing.write.mode("overwrite").parquet(f"{stage}/crossing")
-        crossing = spark.read.schema(crossing.schema).parquet(f"{stage}/crossing")
+        crossing = _read_back(spark, crossing.schema, f"{stage}/crossing", located)
     return saved.where("NOT __crosses").drop("__rim", "__crosses").unionByName(crossing)

@@ -214,3 +214,56 @@ def test_job_entry(spark, logs, tmp_path, capsys):
     assert capsys.readouterr().out.strip() == f"{tmp_path}/Отчёт"
     assert spark.read.json(f"{tmp_path}/Отчёт").count() == 2
     assert main([]) == 2
+
+
+# ---- listings that fetch their texts late --------------------------------------------------------
+
+
+def late_lines(spark, n=400):
+    from logloom.sources.lines import LINES_SCHEMA
+
+    rows = []
+    for i in range(n):
+        rows += [(f"/x/2401011{i % 3}.log", i - i % 7, 2 * i, False, f"{i % 60:02d}:01.{i}-{(i * 7919) % 1000},CALL,1,Usr=u{i},Memory={i % 11},Context='some long text {i}"), (f"/x/2401011{i % 3}.log", i - i % 7, 2 * i + 1, False, f"  end {i}'")]
+    return spark.createDataFrame(rows, LINES_SCHEMA)
+
+
+@pytest.mark.parametrize("sort, limit", [("Memory desc, Usr", 25), ("twice, Usr desc", 7), ("Usr", 1000), ("timestamp desc, Usr", 3)])
+def test_late_texts_give_the_same_listing(spark, tmp_path, sort, limit):
+    from logloom.plans.report import report_lines
+
+    definition = {
+        "event_name": "CALL", "event_limit": limit, "keys_sort": sort,
+        "keys_result": [{"name": "Usr"}, {"name": "Context"}, {"name": "duration"}, {"name": "Memory"}, {"name": "timestamp", "roundtime": "5m"}, {"name": "twice", "formula": "duration * 2"}],
+    }
+    lines = late_lines(spark)
+    whole = report_lines(lines, definition)
+    late = report_lines(lines, definition, stage=str(tmp_path / "s"))
+    assert [str(r) for r in late.collect()] == [str(r) for r in whole.collect()]
+    assert late.count() == min(limit, 400)
+
+
+def test_sort_carries_no_text(spark, tmp_path, monkeypatch):
+    """Places are found without reading a text column, and texts come from the files that hold the rows shown."""
+    import logloom.plans.report as plan
+
+    asked = []
+
+    def watched(*arguments, real=plan.keeper):
+        keep = real(*arguments)
+        return lambda df: asked.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+
+    monkeypatch.setattr(plan, "keeper", watched)
+    definition = {"event_name": "CALL", "event_limit": 5, "keys_sort": "duration desc, Usr", "keys_result": [{"name": "Usr"}, {"name": "Context"}, {"name": "duration"}]}
+    late = plan.report_lines(late_lines(spark), definition, stage=str(tmp_path / "s"))
+    (found,) = asked
+    assert "TakeOrderedAndProject" in found and "Context" not in found
+    shown = late._jdf.queryExecution().executedPlan().toString()
+    assert "Context" in shown and "file_path" in shown and late.count() == 5
+
+
+def test_unknown_sort_column_of_a_staged_listing(spark, tmp_path):
+    from logloom.plans.report import report_lines
+
+    with pytest.raises(SpecError, match="cannot sort"):
+        report_lines(late_lines(spark, 3), {"event_name": "CALL", "event_limit": 5, "keys_sort": "nothing", "keys_result": [{"name": "Usr"}]}, stage=str(tmp_path / "s"))
