@@ -230,15 +230,15 @@ def _(table):
 
 
 # one key with whole numbers, other numbers and text, as log text and as what its values are
-DETAIL = F.expr("""concat(',Detail=', CASE event_id % 4 WHEN 0 THEN concat(event_id, '.0') WHEN 1 THEN concat('0', event_id)
-    WHEN 2 THEN concat(event_id % 50, '.25') ELSE concat('none ', event_id % 9) END)""")
+DETAIL = """concat(',Detail=', CASE event_id % 4 WHEN 0 THEN concat(event_id, '.0') WHEN 1 THEN concat('0', event_id)
+    WHEN 2 THEN concat(event_id % 50, '.25') ELSE concat('none ', event_id % 9) END)"""
 DETAIL_SQL = """SELECT event_id, CASE event_id % 4 WHEN 2 THEN (event_id % 50) + 0.25::DOUBLE WHEN 3 THEN NULL ELSE event_id::DOUBLE END AS num,
     CASE event_id % 4 WHEN 2 THEN (event_id % 50) || '.25' WHEN 3 THEN 'none ' || (event_id % 9) ELSE event_id::VARCHAR END AS shown,
     CASE event_id % 4 WHEN 2 THEN 'DOUBLE' WHEN 3 THEN 'STRING' ELSE 'BIGINT' END AS kind FROM events"""
 
 
 def mixed_lines(table):
-    return render(table("events"), extra=DETAIL)
+    return render(table("events"), extra=F.expr(DETAIL))
 
 
 @query("evt_mixed_values", f"""SELECT event_id AS "EventId", kind, shown, num FROM ({DETAIL_SQL})""")
