@@ -59,17 +59,18 @@ class Tree:
             open_nodes = following
         return np.array(self.leaf)[at]
 
-    def visits(self, q: np.ndarray, n: int) -> list[int]:
-        """The first `n` leaves in best-bin-first order for inner products with `q`."""
+    def visits(self, q: np.ndarray, n: int, rows: list[int] | None = None, least: int = 0) -> list[int]:
+        """The first `n` leaves in best-bin-first order for inner products with `q`, and more until they have `least` of the `rows` in each leaf."""
         worth = self.centroids @ q
-        queue, found = [(-worth[0], 0)], []
-        while queue and len(found) < n:
+        queue, found, held = [(-worth[0], 0)], [], 0
+        while queue and (len(found) < n or held < least):
             _, node = heapq.heappop(queue)
             if self.children[node]:
                 for kid in self.children[node]:
                     heapq.heappush(queue, (-worth[kid], kid))
             else:
                 found.append(self.leaf[node])
+                held += rows[self.leaf[node]] if rows else 0
         return found
 
 
@@ -232,7 +233,8 @@ def nearest_neighbours(
 
     index = staged(vectors.select("uid", "id", "v").mapInArrow(into_leaves, "uid long, id long, v array<double>, leaf int"))
     counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # one row for each leaf of the tree
-    block_counts = [-(-counts.get(leaf, 0) // BLOCK_ROWS) for leaf in range(tree.leaves)]
+    leaf_rows = [counts.get(leaf, 0) for leaf in range(tree.leaves)]
+    block_counts = [-(-n // BLOCK_ROWS) for n in leaf_rows]
     in_leaf = F.get(F.array(*[F.lit(n) for n in block_counts]), F.col("leaf"))
     blocks = staged(_blocks(index.withColumn("block", F.pmod(F.xxhash64("uid"), in_leaf).cast("int"))))
     queries = vectors.where(F.coalesce(is_query(F.col("id")), F.lit(False)))
@@ -242,7 +244,7 @@ def nearest_neighbours(
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 q = _matrix(batch.column("v"))
-                orders = [tree.visits(row, visits) for row in q]
+                orders = [tree.visits(row, visits, leaf_rows, nearest + 1) for row in q]  # its own row may be one of them
                 bounds = np.concatenate([[0], np.cumsum([len(o) for o in orders])])
                 leaves = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(orders) if orders else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("v"), leaves], ["quid", "q", "leaves"])

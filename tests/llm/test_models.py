@@ -165,3 +165,34 @@ def test_recall_and_ties(spark):
         if 1000 <= i < 2200:
             assert [j for _, j in made[i]] == [j for _, j in found]
     assert hits >= 0.9 * 20 * len(want)
+
+
+def test_enough_leaves_for_all_that_are_wanted():
+    """Visits go on past the calibrated number while too few vectors have been seen."""
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(900, 4))
+    tree = nearest.grow(x, branches=4, leaf_rows=8)
+    rows = np.bincount(tree.assign(x), minlength=tree.leaves).tolist()
+    for q in x[:20]:
+        few = tree.visits(q, 1, rows, 21)
+        assert few == tree.visits(q, len(few)) and sum(rows[leaf] for leaf in few) >= 21 > sum(rows[leaf] for leaf in few[:-1])
+        assert len(tree.visits(q, 1, rows, 10**6)) == tree.leaves
+
+
+def test_recall_on_the_given_embeddings(spark):
+    """Queries divisible by 50 against all rows, held against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect() if r["embedding"] is not None]
+    rows = [(i, np.array(v, float)) for i, v in rows if all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    made = defaultdict(set)
+    for r in nearest.nearest_neighbours(table, is_query=lambda i: i % 50 == 0).collect():
+        made[r["query_id"]].add(r["id"])
+    hits = total = 0
+    for i, v in rows:
+        if i % 50 == 0:
+            scores = np.where(ids == i, -np.inf, x @ v)
+            want = set(ids[np.lexsort((ids, -scores))[:20]].tolist())
+            assert len(made[i]) == 20
+            hits, total = hits + len(made[i] & want), total + 20
+    assert total and hits >= 0.9 * total
