@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from logloom.functions import mixed
 from logloom.functions.columns import col
+from logloom.sources.events import drop_folder, scratch_folder
 from logloom.sources.watch import Watch
 
 FORMATS = ("csv", "parquet", "json")
@@ -89,12 +90,6 @@ class _Place:
         self._fs.delete(self._path(self.old), True)
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Remove a folder this package has made."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _target(definition: dict[str, Any]) -> str:
     """Where a specification wants its report."""
     stem, ending = os.path.splitext(definition.get("output_file") or "report")
@@ -106,7 +101,6 @@ def _target(definition: dict[str, Any]) -> str:
 def write_reports(spark: SparkSession, definitions: list[dict[str, Any]], fmt: str = "csv", encoding: str | None = "auto") -> list[str]:
     """Run several reports over log files, reading these once, and write each to its place."""
     from logloom.plans.report import run_reports
-    from logloom.sources.events import scratch_folder
 
     paths = [_target(d) for d in definitions]
     if len(set(paths)) < len(paths):
@@ -126,7 +120,6 @@ def write_report(
     The events staged on the way are removed again. A `watch` counts what is left out.
     """
     from logloom.plans.report import run_report
-    from logloom.sources.events import scratch_folder
 
     path, folder = _target(definition), scratch_folder(spark)
     try:
