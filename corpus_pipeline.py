@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm import line_dedup, mixing, packing, quality, simhash
-from logloom.llm.common import staged
+from logloom.sources.events import drop_folder, scratch_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over `documents`, each written before the next begins."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn over `documents`, each written before the next begins; what a stage has read goes when it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        made, folder = stage(spark, docs, sf_dir), scratch_folder(spark)
+        made.write.parquet(folder)
+        docs = spark.read.schema(made.schema).parquet(folder)
+        if before:
+            drop_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
