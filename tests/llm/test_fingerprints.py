@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import struct
 from collections import Counter
 
 import pytest
-from conftest_llm import plain
+import xxhash
+from conftest_llm import WORD, plain
 from pyspark.sql import functions as F
 
 from logloom.llm import fingerprints
@@ -84,3 +87,51 @@ def test_long_texts_have_a_subset_of_few_terms(spark):
     terms = terms.select(F.array_sort("terms").alias("terms"))
     long, none = [r["tags"] for r in terms.select(fingerprints.subset_hashes(F.col("terms")).alias("tags")).collect()]
     assert all(8 <= len(family) <= 16 and "" not in family for family in long) and none == [[]] * fingerprints.FAMILIES
+
+
+def hashed(*values) -> int:
+    """Spark's xxhash64 of integers and texts, one after another."""
+    made = 42
+    for v in values:
+        made = xxhash.xxh64(struct.pack("<i", v) if isinstance(v, int) else v.encode(), seed=made).intdigest()
+    return made - (1 << 64) if made >> 63 else made
+
+
+def plain_tags(terms):
+    """By family the hashes of the terms that each subset of the lexicon leaves, until none is left."""
+    made = []
+    for seed in range(8):
+        left, tags, level = list(terms), [], 0
+        while left and level < 31:
+            tags.append(f"{hashed(*left) & 0xFFFFFF:06x}")
+            level += 1
+            left = [t for t in left if hashed(seed, t) % 4**level == 0]
+        made.append(tags)
+    return made
+
+
+def plain_likeness(a, b):
+    if not any(a) and not any(b):
+        return 1.0
+    return sum(any(x == y for x, y in zip(p, q)) for p, q in zip(a, b)) / len(a)
+
+
+@pytest.mark.parametrize("name", ["documents", "messy"])
+def test_fingerprints_and_likeness_in_plain_python(request, name):
+    docs = request.getfixturevalue(name)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    counts = Counter(w for _, t in rows for w in set(re.findall(WORD, t)))
+
+    def terms(text):
+        found = set(re.findall(WORD, text))
+        inside = {w for w in found if 2 <= counts[w] <= 0.01 * len(rows)} if 0.01 * len(rows) >= 2 else set()
+        return sorted(inside or found, key=str.encode)
+
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, xxh(r[1])))
+    following = dict(zip(order, order[1:] + order[:1]))
+    tags = {t: plain_tags(terms(t)) for _, t in rows}
+    for r in fingerprints.edited_likeness(docs).collect():
+        beyond = following[(r["doc_id"], r["text"])][1]
+        edited = plain_tags(terms(r["edited"]))
+        assert (r["tags"], r["edited_tags"]) == (tags[r["text"]], edited)
+        assert r["near_edited"] == plain_likeness(tags[r["text"]], edited) and r["near_next"] == plain_likeness(tags[r["text"]], tags[beyond])

@@ -45,6 +45,27 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_scores_are_sums_of_table_entries(spark):
+    """Every score read off the lookup tables by hand."""
+    from bisect import bisect_right
+    from math import exp
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = [spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")]
+    measured = quality.document_features(docs).cache()
+    model = quality.learn(measured, labels)
+    assert len(model.tables) == len(quality.FEATURES) and model.pairs
+    made = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    for r in measured.collect():
+        x = [r[name] for name in quality.FEATURES]
+        total = model.intercept + sum(table[bisect_right(list(edges), v)] for edges, table, v in zip(model.edges, model.tables, x))
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            total += table[bisect_right(list(model.pair_edges[i]), x[i])][bisect_right(list(model.pair_edges[j]), x[j])]
+        score = 1 / (1 + exp(-min(max(total, -500), 500)))
+        assert made[r["doc_id"]]["score"] == pytest.approx(score, rel=1e-9) and made[r["doc_id"]]["predicted"] == (score >= 0.7)
+    measured.unpersist()
+
+
 def test_quality_of_messy_documents(spark, docs):
     labels = spark.createDataFrame([(6, 1, 0), (7, 1, 0), (None, 0, 1), (11, 0, 0), (11, 0, 0), (12, None, 0), (100, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == docs.count()
