@@ -17,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import columns_of, words
+from logloom.llm.common import BETWEEN_WORDS, columns_of
 
 NUM, DEN = 4, 5
 #: Counters of the rarity table, a fixed size for any corpus.
 COUNTERS = 1 << 18
+#: What BETWEEN_WORDS matches.
+BLANKS = " \t\n\v\f\r"
 
 
 def _has_word(text: Column) -> Column:
@@ -36,9 +38,9 @@ def rarity_levels(texts: DataFrame) -> bytes:
     """For each counter a byte that rises with the number of words that fall on it, over all of column `text`.
 
     Words that share a counter count together, so this overestimates; any order of words gives the same matches,
-    and this one costs a fixed number of bytes.
+    and this one costs a fixed number of bytes. Empty strings at the ends of a text and NULL texts count as one more word.
     """
-    counts = texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy(_counter(F.col("word")).alias("at")).count()
+    counts = texts.select(F.explode_outer(F.split("text", BETWEEN_WORDS, -1)).alias("word")).groupBy(_counter(F.col("word")).alias("at")).count()
     # half octaves as printable bytes
     level = (F.lit(33) + F.floor(2 * F.log2("count"))).cast("int").alias("level")
     blocks = counts.groupBy(F.floor(F.col("at") / 4096).alias("block")).agg(F.collect_list(F.struct("at", level)).alias("counters"))
@@ -57,11 +59,14 @@ def _sets(rows: DataFrame, levels: bytes) -> DataFrame:
     """One row per distinct set: `s1`, `s2` name it, `first` holds its first place and its words, rarest first."""
     table = F.lit(levels)
     keyed = F.transform(
-        F.array_distinct(words(F.col("line"))),
+        F.array_distinct(F.split("line", BETWEEN_WORDS, -1)),
         lambda w: F.concat(F.substring(table, _counter(w) + 1, F.lit(1)).cast("string"), w),
     )
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    packed = lines.where(_has_word(F.col("line"))).select("doc_id", "row", "line_no", F.concat_ws(" ", F.transform(F.array_sort(keyed), lambda w: F.substring(w, F.lit(2), F.length(w)))).alias("words"))
+    bare = F.transform(F.sort_array(keyed), lambda w: F.substring(w, 2, 2**31 - 1))
+    # the outer form keeps the optimizer from splitting each text twice to see if it has lines
+    lines = rows.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    worded = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line != ''")
+    packed = worded.select("doc_id", "row", "line_no", F.concat_ws(" ", bare).alias("words"))
     named = packed.withColumn("s1", F.xxhash64("words")).withColumn("s2", F.hash(F.lit(7), "words"))
     return named.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "line_no", "words")).alias("first"))
 
@@ -72,9 +77,10 @@ def _at_least(numerator: Column, denominator: int) -> Column:
 
 
 def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets that share enough prefix words for their lengths and places.
+    """Pairs of sets that share a prefix word after which enough words follow in both.
 
-    Before that, most others fall to the number of words that they must differ in.
+    A matching pair is found at the first word that it shares: all others that it shares come later. Before that, most others fall
+    to their lengths and to the number of words that they must differ in.
 
     Words are joined by a hash; hashes that clash can only add candidates.
     """
@@ -89,20 +95,14 @@ def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     one = one.select(F.hash("w").alias("h"), (F.col("n") * 2**31 + F.col("i")).cast("long").alias("ni"), "s1", "s2", "bits")
     # both sides read the same shuffled rows
     a, b = one.alias("a"), one.alias("b")
-    n_a, n_b = F.shiftright("a.ni", 31), F.shiftright("b.ni", 31)
+    (n_a, i_a), (n_b, i_b) = [(F.shiftright(f"{x}.ni", 31), F.col(f"{x}.ni").bitwiseAND(2**31 - 1)) for x in "ab"]
+    least = _at_least((n_a + n_b) * num, num + den)
     ordered = (F.col("a.s1") < F.col("b.s1")) | ((F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") < F.col("b.s2")))
     lengths = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
-    bits = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n_a + n_b - 2 * _at_least((n_a + n_b) * num, num + den)
-    met = a.join(b, F.col("a.h") == F.col("b.h")).where(ordered & lengths & bits).select(
-        "a.s1", "a.s2", "a.ni", *[F.col(f"b.{c}").alias(f"{c}_b") for c in ("s1", "s2", "ni")],
-    )
-    met = met.groupBy("s1", "s2", "s1_b", "s2_b").agg(F.count("*").alias("shared"), F.min("ni").alias("ni"), F.min("ni_b").alias("ni_b"))
-    n_a, i_a, n_b, i_b = [f(c) for c in ("ni", "ni_b") for f in (lambda c: F.shiftright(c, 31), lambda c: F.col(c).bitwiseAND(2**31 - 1))]
-    least = _at_least((n_a + n_b) * num, num + den)
-    # with the prefix that ends first, all that is not shared there is missing from the other set
-    enough = F.col("shared") >= least + 1 - F.greatest(_at_least(n_a * num, den), _at_least(n_b * num, den))
-    positions = F.least(n_a - i_a, n_b - i_b) + 1 >= least
-    return met.where(enough & positions).select("s1", "s2", "s1_b", "s2_b")
+    positions = F.least(n_a - i_a, n_b - i_b) >= least
+    bits = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n_a + n_b - 2 * least
+    met = a.join(b, F.col("a.h") == F.col("b.h")).where(ordered & lengths & positions & bits)
+    return met.select("a.s1", "a.s2", *[F.col(f"b.{c}").alias(f"{c}_b") for c in ("s1", "s2")]).distinct()
 
 
 def _later_matches(sets: DataFrame, num: int, den: int) -> DataFrame:
