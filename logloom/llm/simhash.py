@@ -165,6 +165,9 @@ def near_links(prints: DataFrame, bits: int = BITS, cuts: int | None = None, kep
     By default the fewest segments are cut of which one differs by at most one place. Each fingerprint then has 64
     signatures of about 64 / cuts places; a pair is given at the first that it shares. With very many fingerprints, longer signatures keep chance meetings down:
     `cuts=6, kept=3` gives 640 of 32 places (for 4 bits).
+
+    Both sides are shuffled and sorted, whatever Spark expects of them: it takes the signatures to be no larger than the fingerprints
+    that they are made of, a sixty-fourth or less, and would send all of them through the driver.
     """
     cuts = cuts or bits // 2 + 1
     _check_cuts(bits, cuts, kept)
@@ -172,7 +175,7 @@ def near_links(prints: DataFrame, bits: int = BITS, cuts: int | None = None, kep
     two = one.select(F.col("u").alias("v"), "at", "sign")
     differing = F.col("u").bitwiseXOR(F.col("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(differing) <= bits) & (F.col("at") == _first_shared(differing, cuts, kept))
-    return one.join(two, ["at", "sign"]).where(near).select("u", "v")
+    return one.join(two.hint("merge"), ["at", "sign"]).where(near).select("u", "v")
 
 
 def _groups(prints: DataFrame, bits: int, cuts: int | None, kept: int) -> DataFrame:

@@ -13,6 +13,7 @@ from conftest_llm import WORD, plain
 from pyspark.sql import functions as F
 
 from logloom.llm import attribution, line_dedup, simhash, suffix_dedup, window_dedup
+from logloom.llm.common import staged
 from logloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 from logloom.llm.tokens import default_tokenizer, tokenizer
 
@@ -72,6 +73,16 @@ def test_one_of_each_takes_a_text_of_every_group(spark):
     assert sorted(again, key=repr) == sorted(made, key=repr)
 
 
+def test_signatures_are_not_sent_through_the_driver(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "10m")
+    rnd = np.random.default_rng(4)
+    nodes = staged(spark.createDataFrame([(int(f),) for f in rnd.integers(0, 1 << 63, 500)], "fingerprint long"))
+    links = simhash.near_links(nodes)
+    assert links.collect() == []
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_more_segments_give_the_same_links(spark):
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 1 << 63, 40)
