@@ -12,18 +12,37 @@ from logloom.sources.events import scratch_folder
 # A word is a run of anything but the six ASCII white-space characters.
 BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 
+#: Whether shuffle files go at the end of the query that made them.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _left: list[str] = []
 
 
 def staged(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back: later steps survive lost executors and don't repeat it."""
+    return staged_at(df)[0]
+
+
+def staged_at(df: DataFrame, release: bool = False) -> tuple[DataFrame, str]:
+    """`staged`, and the folder that it wrote, for `drop_folder`. To `release` is to let go of the shuffle files of the writing when it is done.
+
+    Spark keeps those files until the driver happens to collect its garbage. The session's setting is put back after the writing;
+    a query that is started meanwhile loses its files when it ends, and would make them again if it needed them.
+    """
     spark = df.sparkSession
     folder = scratch_folder(spark)
     if not _left:
         atexit.register(_remove, spark)
     _left.append(folder)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(folder), folder
 
 
 def _remove(spark: SparkSession) -> None:

@@ -14,14 +14,18 @@ comes before all others; rows that are repeated whole stand at the same place an
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import BETWEEN_WORDS, columns_of
+from logloom.llm.common import BETWEEN_WORDS, columns_of, null_safe_join, staged_at
+from logloom.sources.events import drop_folder
 
 NUM, DEN = 4, 5
 #: Counters of the rarity table, a fixed size for any corpus.
 COUNTERS = 1 << 18
+#: Sets of more words have a sketch of 128 bits, others of 64.
+WIDE = 100
 #: What BETWEEN_WORDS matches.
 BLANKS = " \t\n\v\f\r"
 
@@ -31,7 +35,7 @@ def _has_word(text: Column) -> Column:
 
 
 def _counter(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(COUNTERS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(COUNTERS - 1).cast("int")
 
 
 def rarity_levels(texts: DataFrame) -> bytes:
@@ -55,20 +59,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64(F.lit(1), "text"))
 
 
-def _sets(rows: DataFrame, levels: bytes) -> DataFrame:
-    """One row per distinct set: `s1`, `s2` name it, `first` holds its first place and its words, rarest first."""
-    table = F.lit(levels)
-    keyed = F.transform(
-        F.array_distinct(F.split("line", BETWEEN_WORDS, -1)),
-        lambda w: F.concat(F.substring(table, _counter(w) + 1, F.lit(1)).cast("string"), w),
-    )
-    bare = F.transform(F.sort_array(keyed), lambda w: F.substring(w, 2, 2**31 - 1))
+def _lines(rows: DataFrame) -> DataFrame:
+    """`doc_id`, `row`, `line_no`, `line` of the lines with words."""
     # the outer form keeps the optimizer from splitting each text twice to see if it has lines
     lines = rows.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
-    worded = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line != ''")
-    packed = worded.select("doc_id", "row", "line_no", F.concat_ws(" ", bare).alias("words"))
-    named = packed.withColumn("s1", F.xxhash64("words")).withColumn("s2", F.hash(F.lit(7), "words"))
-    return named.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "row", "line_no", "words")).alias("first"))
+    return lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line != ''")
 
 
 def _at_least(numerator: Column, denominator: int) -> Column:
@@ -76,57 +71,125 @@ def _at_least(numerator: Column, denominator: int) -> Column:
     return F.floor((numerator + (denominator - 1)) / denominator).cast("int")
 
 
+def _packed(levels: bytes) -> Column:
+    """The levels from 0 on, eight to a long; a constant."""
+    eights = np.clip(np.frombuffer(levels, np.uint8).astype(np.int64) - 33, 0, 63).reshape(-1, 8)
+    longs = (eights << (8 * np.arange(8))).sum(axis=1)
+    return F.split(F.lit(" ".join(map(str, longs.tolist()))), " ").cast("array<bigint>")
+
+
+def _keys(line: Column, levels: bytes) -> Column:
+    """The words of a line as longs, the rarest first: 6 bits of level before 57 of the word's hash."""
+    table = _packed(levels)
+
+    def key(h: Column) -> Column:
+        at = h.bitwiseAND(COUNTERS - 1).cast("int")
+        level = F.call_function("shiftright", F.get(table, F.shiftright(at, 3)), F.shiftleft(at.bitwiseAND(7), 3)).bitwiseAND(63)
+        return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    hashes = F.transform(F.split(line, BETWEEN_WORDS, -1), lambda w: F.xxhash64(w))
+    return F.sort_array(F.transform(F.array_distinct(hashes), key))
+
+
+def _sets(rows: DataFrame, levels: bytes, num: int, den: int) -> DataFrame:
+    """One row per distinct set: `s1`, `s2` name it, `first` holds its first place and what it is joined by.
+
+    That is its size `n`, a sketch of it (`bits`, `more`) and a hash of each word of its `prefix`, none for a set that
+    matches no other by its size. The words stay behind; they are read again for the few sets that may match.
+    """
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    parity = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(bit(k)))
+    keyed = _lines(rows).select("doc_id", "row", "line_no", _keys(F.col("line"), levels).alias("keys"))
+    sized = keyed.withColumn("n", F.size("keys"))
+    # each word flips one of 64 or 128 bits, so two sets differ in at least as many words as bits
+    upper = F.when(F.col("n") > WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(64) != 0))).otherwise(F.lit(0).cast("long"))
+    sized = sized.withColumns({"s1": F.xxhash64("keys"), "s2": F.hash(F.lit(7), "keys"), "whole": parity(F.col("keys")), "more": upper})
+    # a set with fewer words matches none but itself
+    long = F.floor(F.col("n") * den / num) > F.col("n")
+    length = F.when(long, F.col("n") - _at_least(F.col("n") * num, den) + 1).otherwise(0)
+    prefix = F.transform(F.slice("keys", 1, length), lambda k: F.hash(k)).alias("prefix")
+    found = sized.select("s1", "s2", F.struct("doc_id", "row", "line_no", "n", F.col("whole").bitwiseXOR(F.col("more")).alias("bits"), "more", prefix).alias("first"))
+    return found.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("s1", "s2", "first.*")
+
+
 def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets that share a prefix word after which enough words follow in both.
+    """Pairs `u`, `v` (by `s1`) of sets that share a prefix word after which enough words follow in both, and how many bits `differ`.
 
     A matching pair is found at the first word that it shares: all others that it shares come later. Before that, most others fall
     to their lengths and to the number of words that they must differ in.
 
-    Words are joined by a hash; hashes that clash can only add candidates.
+    Words are joined by a hash and sets are named by the longer one of their two; hashes that clash can only add candidates. The rows of
+    the prefixes are shuffled and sorted, whatever Spark expects of them: it takes them to be no larger than the sets.
     """
-    tokens = sets.select("s1", "s2", F.split("first.words", " ").alias("w")).withColumn("n", F.size("w"))
-    # each word flips one of 64 bits, so two sets differ in at least as many words as bits
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(3), w), F.lit(64)).cast("int"))
-    tokens = tokens.withColumn("bits", F.aggregate("w", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w))))
-    prefix = F.slice("w", 1, F.col("n") - _at_least(F.col("n") * num, den) + 1)
-    # a set with fewer words matches none but itself
-    long = tokens.where(F.floor(F.col("n") * den / num) > F.col("n"))
-    one = long.select("s1", "s2", "n", "bits", F.posexplode(prefix).alias("i", "w"))
-    one = one.select(F.hash("w").alias("h"), (F.col("n") * 2**31 + F.col("i")).cast("long").alias("ni"), "s1", "s2", "bits")
+    one = sets.where(F.size("prefix") > 0).select("s1", "n", "bits", "more", F.posexplode("prefix").alias("i", "h"))
+    one = one.select("h", (F.col("n") * 2**31 + F.col("i")).cast("long").alias("ni"), "s1", "bits", "more")
     # both sides read the same shuffled rows
     a, b = one.alias("a"), one.alias("b")
     (n_a, i_a), (n_b, i_b) = [(F.shiftright(f"{x}.ni", 31), F.col(f"{x}.ni").bitwiseAND(2**31 - 1)) for x in "ab"]
     least = _at_least((n_a + n_b) * num, num + den)
-    ordered = (F.col("a.s1") < F.col("b.s1")) | ((F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") < F.col("b.s2")))
     lengths = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
     positions = F.least(n_a - i_a, n_b - i_b) >= least
-    bits = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n_a + n_b - 2 * least
-    met = a.join(b, F.col("a.h") == F.col("b.h")).where(ordered & lengths & positions & bits)
-    return met.select("a.s1", "a.s2", *[F.col(f"b.{c}").alias(f"{c}_b") for c in ("s1", "s2")]).distinct()
-
-
-def _later_matches(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The sets `s1`, `s2` that match one with an earlier first line."""
-    found = _candidates(sets, num, den)
-    found = found.join(sets.withColumnRenamed("first", "first_a"), ["s1", "s2"])
-    other = sets.select(F.col("s1").alias("s1_b"), F.col("s2").alias("s2_b"), F.col("first").alias("first_b"))
-    found = found.join(other, ["s1_b", "s2_b"])
-    a, b = F.split("first_a.words", " "), F.split("first_b.words", " ")
-    common = F.size(F.array_intersect(a, b))
-    match = common * den >= (F.size(a) + F.size(b) - common) * num
-    place_a, place_b = [F.struct(*[f"{x}.{c}" for c in ("doc_id", "row", "line_no")]) for x in ("first_a", "first_b")]
-    a_later = place_a > place_b
-    later = found.where(match).select(
-        F.when(a_later, F.col("s1")).otherwise(F.col("s1_b")).alias("s1"), F.when(a_later, F.col("s2")).otherwise(F.col("s2_b")).alias("s2"),
-    )
-    return later.distinct()
+    bits, more = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("bits", "more")]
+    differ = F.when((n_a > WIDE) & (n_b > WIDE), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
+    near = differ <= n_a + n_b - 2 * least
+    met = a.join(b.hint("merge"), F.col("a.h") == F.col("b.h")).where((F.col("a.s1") < F.col("b.s1")) & lengths & positions & near)
+    return met.select(F.col("a.s1").alias("u"), F.col("b.s1").alias("v"), differ.cast("int").alias("differ")).distinct()
+
+
+def _ordered(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs as `later` and `earlier`, by their first places, and how many bits `differ`."""
+    place = sets.select("s1", F.struct("doc_id", "row", "line_no", "s1", "s2").alias("place"))
+    a, b = place.select(F.col("s1").alias("u"), F.col("place").alias("a")), place.select(F.col("s1").alias("v"), F.col("place").alias("b"))
+    return candidates.join(a, "u").join(b, "v").select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"), "differ")
+
+
+def _words(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`s1`, `s2` and the `words` of every set of the pairs, from its first line."""
+    named = pairs.select("later.*").union(pairs.select("earlier.*")).distinct()
+    wanted = named.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "s1", "s2")).alias("wanted"))
+    texts = null_safe_join(rows, wanted, ["doc_id", "row"]).select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    lines = texts.select("lines", F.explode("wanted").alias("set")).select("set.s1", "set.s2", F.get("lines", F.col("set.line_no")).alias("line"))
+    words = F.array_distinct(F.split(F.btrim("line", F.lit(BLANKS)), BETWEEN_WORDS, -1))
+    # rows may be repeated whole
+    return lines.dropDuplicates(["s1", "s2"]).select("s1", "s2", words.alias("words"))
+
+
+def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
+    """The names `s1`, `s2` of the later sets of those pairs that match on their words."""
+    names = pairs.select(*[F.col(f"{x}.{s}").alias(f"{s}_{x[0]}") for x in ("later", "earlier") for s in ("s1", "s2")])
+    for x in "el":
+        own = words.select(F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}"), F.col("words").alias(x))
+        names = names.join(own.hint("merge"), [f"s1_{x}", f"s2_{x}"])
+    common = F.size(F.array_intersect("e", "l"))
+    match = common * den >= (F.size("e") + F.size("l") - common) * num
+    return names.where(match).select(F.col("s1_l").alias("s1"), F.col("s2_l").alias("s2")).distinct()
 
 
 def _kept_lines(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """`doc_id`, `row` and the numbers of the lines with words that stay; texts that lose all of them are missing."""
-    sets = _sets(rows, rarity_levels(rows))
-    places = sets.join(_later_matches(sets, num, den), ["s1", "s2"], "left_anti").select("first.doc_id", "first.row", "first.line_no")
-    kept = places.groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("kept"))
+    """`doc_id`, `row` and the numbers of the lines with words that stay; texts that lose all of them are missing.
+
+    Every step is written before the next, and what it has read and shuffled goes as soon as it isn't needed. A set's likeliest earlier
+    match is verified first; only sets for which that fails meet their other candidates.
+    """
+    spark, folders = rows.sparkSession, []
+
+    def written(df: DataFrame) -> DataFrame:
+        made, folder = staged_at(df, release=True)
+        folders.append(folder)
+        return made
+
+    sets = written(_sets(rows, rarity_levels(rows), num, den))
+    pairs = written(_ordered(written(_candidates(sets, num, den)), sets))
+    words = written(_words(rows, pairs))
+    likeliest = pairs.groupBy("later.s1", "later.s2").agg(F.min(F.struct("differ", "earlier", "later")).alias("pair")).select("pair.*")
+    proven = written(_verified(likeliest, words, num, den))
+    told = proven.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+    others = pairs.join(told, (F.col("later.s1") == F.col("t1")) & (F.col("later.s2") == F.col("t2")), "left_anti")
+    gone = proven.union(written(_verified(others, words, num, den)))
+    places = sets.join(gone, ["s1", "s2"], "left_anti").select("doc_id", "row", "line_no")
+    kept, _ = staged_at(places.groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("kept")), release=True)
+    for folder in folders:
+        drop_folder(spark, folder)
     return kept.select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"), "kept")
 
 
