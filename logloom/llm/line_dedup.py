@@ -5,8 +5,9 @@ that matching lines share one of the first few: those prefixes are joined, candi
 the rest is verified on the whole sets. A line is removed if any line before it in the input matches it, whether or not that
 one stays. Lines come in the order of doc_id, then of a hash of the text, then of their number in the text.
 
-All of it is one lazy plan of built-in functions. Lines with equal sets are first brought down to one row per set, so copies
-never meet in the join; a set's first line is the only one of its lines that can stay.
+All of it is built-in functions. Lines with equal sets are first brought down to one row per set, so copies never meet in the
+join; a set's first line is the only one of its lines that can stay. Most near-copies are then settled by a neighbour, and the join is for
+pairs in which one set is still open. Sets go without their words, which are read again where pairs are verified.
 
 Defined cases: a line without words is neither matched nor removed; a NULL text stays NULL and has no lines; a NULL doc_id
 comes before all others; rows that are repeated whole stand at the same place and are treated alike.
@@ -15,7 +16,7 @@ comes before all others; rows that are repeated whole stand at the same place an
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import BETWEEN_WORDS, columns_of, null_safe_join, staged_at
@@ -26,6 +27,8 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 18
 #: Sets of more words have a sketch of 128 bits, others of 64.
 WIDE = 100
+#: Words of a set by which it looks for near-copies first.
+MARKS = 4
 #: What BETWEEN_WORDS matches.
 BLANKS = " \t\n\v\f\r"
 
@@ -112,8 +115,35 @@ def _sets(rows: DataFrame, levels: bytes, num: int, den: int) -> DataFrame:
     return found.groupBy("s1", "s2").agg(F.min("first").alias("first")).select("s1", "s2", "first.*")
 
 
+def _close(n_a: Column, n_b: Column, num: int, den: int) -> tuple[Column, Column, Column]:
+    """Whether sets `a` and `b` may match by size and sketch; how many words they must share; how many bits differ."""
+    least = _at_least((n_a + n_b) * num, num + den)
+    bits, more = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("bits", "more")]
+    differ = F.when((n_a > WIDE) & (n_b > WIDE), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
+    lengths = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
+    return lengths & (differ <= n_a + n_b - 2 * least), least, differ.cast("int")
+
+
+def _neighbours(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """For each set, as `later`, its likeliest match, as `earlier`, among the first set and the one before it that have a prefix word of it.
+
+    Only the words of the least hashes count, which near-copies mostly share. So most lines of a family of near-copies are
+    settled without meeting all others; `_candidates` is for those that are not.
+    """
+    own = F.struct("place", "n", "bits", "more")
+    order = Window.partitionBy("mark").orderBy("place")
+    marked = sets.where(F.size("prefix") > 0).select(
+        F.struct("doc_id", "row", "line_no", "s1", "s2").alias("place"), "n", "bits", "more", F.explode(F.slice(F.sort_array("prefix"), 1, MARKS)).alias("mark"),
+    )
+    first = F.first(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = marked.select(own.alias("a"), F.array(first, F.lag(own).over(order)).alias("before")).select("a", F.explode("before").alias("b"))
+    may, _, differ = _close(F.col("a.n"), F.col("b.n"), num, den)
+    near = found.where((F.col("b.place") < F.col("a.place")) & may).select(F.col("a.place").alias("later"), differ.alias("differ"), F.col("b.place").alias("earlier"))
+    return near.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("least")).select("later", "least.earlier")
+
+
 def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs `u`, `v` (by `s1`) of sets that share a prefix word after which enough words follow in both, and how many bits `differ`.
+    """Pairs `u`, `v` (by `s1`) of sets, one of them `open`, that share a prefix word after which enough words follow in both.
 
     A matching pair is found at the first word that it shares: all others that it shares come later. Before that, most others fall
     to their lengths and to the number of words that they must differ in.
@@ -121,26 +151,25 @@ def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     Words are joined by a hash and sets are named by the longer one of their two; hashes that clash can only add candidates. The rows of
     the prefixes are shuffled and sorted, whatever Spark expects of them: it takes them to be no larger than the sets.
     """
-    one = sets.where(F.size("prefix") > 0).select("s1", "n", "bits", "more", F.posexplode("prefix").alias("i", "h"))
-    one = one.select("h", (F.col("n") * 2**31 + F.col("i")).cast("long").alias("ni"), "s1", "bits", "more")
+    one = sets.where(F.size("prefix") > 0).select("s1", "n", "bits", "more", "open", F.posexplode("prefix").alias("i", "h"))
+    place = ((F.col("n") * 2**31 + F.col("i")) * 2 + F.col("open").cast("int")).cast("long")
+    one = one.select("h", place.alias("nio"), "s1", "bits", "more")
     # both sides read the same shuffled rows
     a, b = one.alias("a"), one.alias("b")
-    (n_a, i_a), (n_b, i_b) = [(F.shiftright(f"{x}.ni", 31), F.col(f"{x}.ni").bitwiseAND(2**31 - 1)) for x in "ab"]
-    least = _at_least((n_a + n_b) * num, num + den)
-    lengths = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
+    (n_a, i_a), (n_b, i_b) = [(F.shiftright(f"{x}.nio", 32), F.shiftright(f"{x}.nio", 1).bitwiseAND(2**31 - 1)) for x in "ab"]
+    may, least, _ = _close(n_a, n_b, num, den)
+    either = F.col("a.nio").bitwiseOR(F.col("b.nio")).bitwiseAND(1) == 1
     positions = F.least(n_a - i_a, n_b - i_b) >= least
-    bits, more = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("bits", "more")]
-    differ = F.when((n_a > WIDE) & (n_b > WIDE), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
-    near = differ <= n_a + n_b - 2 * least
-    met = a.join(b.hint("merge"), F.col("a.h") == F.col("b.h")).where((F.col("a.s1") < F.col("b.s1")) & lengths & positions & near)
-    return met.select(F.col("a.s1").alias("u"), F.col("b.s1").alias("v"), differ.cast("int").alias("differ")).distinct()
+    met = a.join(b.hint("merge"), F.col("a.h") == F.col("b.h")).where((F.col("a.s1") < F.col("b.s1")) & either & positions & may)
+    return met.select(F.col("a.s1").alias("u"), F.col("b.s1").alias("v")).distinct()
 
 
 def _ordered(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs as `later` and `earlier`, by their first places, and how many bits `differ`."""
-    place = sets.select("s1", F.struct("doc_id", "row", "line_no", "s1", "s2").alias("place"))
-    a, b = place.select(F.col("s1").alias("u"), F.col("place").alias("a")), place.select(F.col("s1").alias("v"), F.col("place").alias("b"))
-    return candidates.join(a, "u").join(b, "v").select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"), "differ")
+    """The pairs as `later` and `earlier`, by their first places; only those whose later set is `open`."""
+    own = sets.select("s1", F.struct(F.struct("doc_id", "row", "line_no", "s1", "s2").alias("place"), "open").alias("own"))
+    a, b = own.select(F.col("s1").alias("u"), F.col("own").alias("a")), own.select(F.col("s1").alias("v"), F.col("own").alias("b"))
+    pairs = candidates.join(a, "u").join(b, "v").select(F.greatest("a", "b").alias("later"), F.least("a", "b").alias("earlier"))
+    return pairs.where("later.open").select("later.place", "earlier.place").toDF("later", "earlier")
 
 
 def _words(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -159,6 +188,7 @@ def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFra
     names = pairs.select(*[F.col(f"{x}.{s}").alias(f"{s}_{x[0]}") for x in ("later", "earlier") for s in ("s1", "s2")])
     for x in "el":
         own = words.select(F.col("s1").alias(f"s1_{x}"), F.col("s2").alias(f"s2_{x}"), F.col("words").alias(x))
+        # compressed, they look smaller than they are
         names = names.join(own.hint("merge"), [f"s1_{x}", f"s2_{x}"])
     common = F.size(F.array_intersect("e", "l"))
     match = common * den >= (F.size("e") + F.size("l") - common) * num
@@ -168,28 +198,28 @@ def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFra
 def _kept_lines(rows: DataFrame, num: int, den: int) -> DataFrame:
     """`doc_id`, `row` and the numbers of the lines with words that stay; texts that lose all of them are missing.
 
-    Every step is written before the next, and what it has read and shuffled goes as soon as it isn't needed. A set's likeliest earlier
-    match is verified first; only sets for which that fails meet their other candidates.
+    Every step is written before the next, and what it has read and shuffled goes as soon as it isn't needed.
     """
-    spark, folders = rows.sparkSession, []
+    spark = rows.sparkSession
 
-    def written(df: DataFrame) -> DataFrame:
-        made, folder = staged_at(df, release=True)
-        folders.append(folder)
+    def written(df: DataFrame, *used: str) -> tuple[DataFrame, str]:
+        made = staged_at(df, release=True)
+        for folder in used:
+            drop_folder(spark, folder)
         return made
 
-    sets = written(_sets(rows, rarity_levels(rows), num, den))
-    pairs = written(_ordered(written(_candidates(sets, num, den)), sets))
-    words = written(_words(rows, pairs))
-    likeliest = pairs.groupBy("later.s1", "later.s2").agg(F.min(F.struct("differ", "earlier", "later")).alias("pair")).select("pair.*")
-    proven = written(_verified(likeliest, words, num, den))
-    told = proven.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    others = pairs.join(told, (F.col("later.s1") == F.col("t1")) & (F.col("later.s2") == F.col("t2")), "left_anti")
-    gone = proven.union(written(_verified(others, words, num, den)))
-    places = sets.join(gone, ["s1", "s2"], "left_anti").select("doc_id", "row", "line_no")
-    kept, _ = staged_at(places.groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("kept")), release=True)
-    for folder in folders:
-        drop_folder(spark, folder)
+    def matching(pairs: DataFrame, at: str) -> tuple[DataFrame, str]:
+        words, words_at = written(_words(rows, pairs))
+        return written(_verified(pairs, words, num, den), words_at, at)
+
+    sets, sets_at = written(_sets(rows, rarity_levels(rows), num, den))
+    settled, settled_at = matching(*written(_neighbours(sets, num, den)))
+    marked = sets.join(settled.withColumn("settled", F.lit(True)), ["s1", "s2"], "left")
+    sets, sets_at = written(marked.withColumn("open", F.col("settled").isNull()).drop("settled"), sets_at, settled_at)
+    pairs, pairs_at = written(_candidates(sets, num, den))
+    gone, gone_at = matching(*written(_ordered(pairs, sets), pairs_at))
+    places = sets.where("open").join(gone, ["s1", "s2"], "left_anti").select("doc_id", "row", "line_no")
+    kept, _ = written(places.groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("kept")), sets_at, gone_at)
     return kept.select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"), "kept")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +15,7 @@ from conftest_llm import WORD, plain
 from pyspark.sql import functions as F
 
 from logloom.llm import attribution, line_dedup, simhash, suffix_dedup, window_dedup
-from logloom.llm.common import staged
+from logloom.llm.common import RELEASE, staged, staged_at
 from logloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 from logloom.llm.tokens import default_tokenizer, tokenizer
 
@@ -122,6 +124,50 @@ def test_line_dedup(docs):
     assert plain(line_dedup.without_repeated_lines(docs), "doc_id", "text") == sorted(texts, key=repr)
 
 
+def test_line_dedup_of_long_near_copies(spark):
+    rnd, rows = np.random.default_rng(5), []
+    for n in (4, 5, 9, 30, 95, 100, 101, 106, 140, 260):
+        base = [f"w{i}" for i in rnd.integers(0, 10**5, n)]
+        for edits in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.25):
+            line = [w if rnd.random() >= edits else f"x{rnd.integers(0, 10**5)}" for w in base] + [f"y{i}" for i in rnd.integers(0, 10**5, int(rnd.integers(0, 1 + n // 9)))]
+            rows.append(" ".join(line))
+    order = rnd.permutation(len(rows))
+    made = [(i, "\n".join([rows[order[i]], "", rows[order[i - 1]] + " z"]), "en", "a", i) for i in range(len(rows))]
+    test_line_dedup(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+def test_lines_of_a_family_do_not_all_meet(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for _ in range(240):
+        line = list(base)
+        for at in rnd.integers(0, 60, 2):
+            line[at] = f"x{rnd.integers(0, 10**6)}"
+        texts.append(" ".join(line))
+    counted, ordered = [], line_dedup._ordered
+    monkeypatch.setattr(line_dedup, "_ordered", lambda *a: (made := ordered(*a), counted.append(made.count()))[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = line_dedup.removed_lines(docs).where("removed = array()").count()
+    assert 1 <= kept < 24 and len(counted) == 1 and counted[0] < 240 * 24
+
+
+def test_shuffle_files_are_let_go(spark, conf, documents):
+    conf(RELEASE, "false")
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for folder in manager.localDirs() for _, _, names in os.walk(folder.getPath()) for name in names if name.startswith("shuffle_")}
+
+    before = shuffled()
+    made, _ = staged_at(documents.repartition("doc_id"), release=True)
+    for _ in range(50):  # executors are told, not waited for
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(RELEASE) == "false"
+    assert made.count() == documents.count()
+
+
 def xxh(text):
     """The row hash that orders equal ids, as Spark computes it; ids alone order all but the messy rows."""
     from pyspark.sql import SparkSession
