@@ -151,6 +151,16 @@ def test_lines_of_a_family_do_not_all_meet(spark, monkeypatch):
     assert 1 <= kept < 24 and len(counted) == 1 and counted[0] < 240 * 24
 
 
+def test_prefixes_are_not_sent_through_the_driver(spark, conf, documents):
+    conf("spark.sql.autoBroadcastJoinThreshold", "10m")
+    rows = line_dedup._rows(documents.select("doc_id", "text"))
+    sets = staged(line_dedup._sets(rows, line_dedup.rarity_levels(rows), 4, 5)).withColumn("open", F.lit(True))
+    pairs = line_dedup._candidates(sets, 4, 5)
+    assert pairs.count() > 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_shuffle_files_are_let_go(spark, conf, documents):
     conf(RELEASE, "false")
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
